@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 MERGE_TASKS = 16
@@ -40,14 +41,15 @@ def sum_over(
         for batch in batches:
             if batch.num_rows:
                 total += f(matrix(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([list_column(total[None, :])], ["total"])
+        task = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_arrays([list_column(total[None, :]), task], ["total", "task"])
 
-    schema = "total array<double>"
+    schema = "total array<double>, task int"
     partial = df.select(column).mapInArrow(lambda b: reduce(b, fn), schema)
-    merged = partial.repartition(MERGE_TASKS).mapInArrow(
-        lambda b: reduce(b, lambda m: m.sum(axis=0)), schema
-    )
-    return np.sum([row["total"] for row in merged.collect()], axis=0)
+    # Adding up in task order makes the result the same in every run.
+    ordered = partial.repartition(MERGE_TASKS, "task").sortWithinPartitions("task")
+    merged = ordered.mapInArrow(lambda b: reduce(b, lambda m: m.sum(axis=0)), schema)
+    return np.sum([r["total"] for r in sorted(merged.collect(), key=lambda r: r["task"])], axis=0)
 
 
 def moments(df: DataFrame, column: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:

@@ -27,9 +27,13 @@ NEIGHBOURS = 15
 MIN_DIST = 0.1
 SEED = 42
 
+EDGES_DRAWN = 2
 NEGATIVES = 5
-BLOCK_POINTS = 2048
-HUB_EDGES = 2048
+SMALL_POINTS = 10_000  # up to here the longer descent
+STEPS_SMALL = 3000
+STEPS_LARGE = 1200
+BLOCK_POINTS = 16_384
+HUB_EDGES = 16_384
 START_EXTENT = 10.0
 
 
@@ -80,7 +84,8 @@ def local_weights(distances: np.ndarray, k: int) -> np.ndarray:
 
 
 def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
-    """(src, dst, weight) in both directions from (src, dst, distance) neighbour pairs."""
+    """(src, dst, weight) in both directions from (src, dst, distance) neighbour pairs, all ids
+    being numbers."""
     entry = F.struct("distance", "dst")
     lists = (
         near.where(F.col("src") != F.col("dst"))
@@ -105,7 +110,7 @@ def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
                 ["src", "dst", "weight"],
             )
 
-    directed = lists.mapInArrow(run, "src string, dst string, weight double")
+    directed = lists.mapInArrow(run, "src long, dst long, weight double")
     both = directed.unionByName(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     # a + b - ab, where b is 0 for an edge seen from one side only
     product = F.when(F.count("*") > 1, F.min("weight") * F.max("weight")).otherwise(0.0)
@@ -122,27 +127,39 @@ def _descend(
     shape: tuple[float, float],
     rng: np.random.Generator,
 ) -> np.ndarray:
-    """Move the first ``movable`` points: per step each follows one edge and flees a few points.
+    """Move the first ``movable`` points: per step each follows some of its edges and flees a
+    few points drawn from all.
 
     ``starts`` delimits each point's edges in ``dst`` and ``weight``.
     """
-    a, b = shape
+    a, b = (np.float32(v) for v in shape)
+    x, y = np.ascontiguousarray(at.T, dtype=np.float32)
+    own_x, own_y = x[:movable], y[:movable]
+    first, degree = starts[:-1], np.diff(starts)
     total = np.concatenate([[0.0], np.cumsum(weight)])
-    low, span = total[starts[:-1]], total[starts[1:]] - total[starts[:-1]]
-    for rate in steps:
-        drawn = np.searchsorted(total, low + rng.random(movable) * span, side="right") - 1
-        edge = np.clip(drawn, starts[:-1], starts[1:] - 1)
-        gap = at[:movable] - at[dst[edge]]
-        square = np.maximum((gap * gap).sum(axis=1), 1e-12)
-        pull = -2 * a * b * square ** (b - 1) / (1 + a * square**b)
-        move = np.clip(pull[:, None] * gap, -4, 4)
-        for _ in range(NEGATIVES):
-            gap = at[:movable] - at[rng.integers(0, len(at), movable)]
-            square = (gap * gap).sum(axis=1)
-            push = np.where(square > 0, 2 * b / ((0.001 + square) * (1 + a * square**b)), 0.0)
-            move += np.clip(push[:, None] * gap, -4, 4)
-        at[:movable] += rate * move
-    return at[:movable]
+    mean = (total[starts[1:]] - total[first]) / degree
+    # An edge is drawn evenly among the point's own and pulls in proportion to its weight.
+    strength = (weight / np.repeat(mean, degree)).astype(np.float32)
+    for rate in steps.astype(np.float32):
+        edges = first + (rng.random((EDGES_DRAWN, movable)) * degree).astype(np.int64)
+        ends = dst.take(edges)
+        gap_x, gap_y = own_x - x.take(ends), own_y - y.take(ends)
+        square = np.maximum(gap_x * gap_x + gap_y * gap_y, np.float32(1e-12))
+        power = square**b
+        force = -2 * a * b * power / (square * (1 + a * power))
+        heft = strength.take(edges)
+        move_x = (heft * np.clip(force * gap_x, -4, 4)).sum(axis=0)
+        move_y = (heft * np.clip(force * gap_y, -4, 4)).sum(axis=0)
+
+        others = rng.integers(0, len(x), (NEGATIVES, movable), dtype=np.int32)
+        gap_x, gap_y = own_x - x.take(others), own_y - y.take(others)
+        square = gap_x * gap_x + gap_y * gap_y
+        force = 2 * b / ((np.float32(0.001) + square) * (1 + a * square**b))
+        move_x += np.clip(force * gap_x, -4, 4).sum(axis=0)
+        move_y += np.clip(force * gap_y, -4, 4).sum(axis=0)
+        own_x += rate * move_x
+        own_y += rate * move_y
+    return np.stack([own_x, own_y], axis=1).astype(np.float64)
 
 
 def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
@@ -150,7 +167,7 @@ def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
 
     def run(key: tuple, edges: pa.Table) -> pa.Table:
         edges = edges.sort_by([("src", "ascending"), ("dst", "ascending")])
-        src, dst = (np.asarray(edges[c], dtype=object) for c in ("src", "dst"))
+        src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
         names, first, counts = np.unique(src, return_index=True, return_counts=True)
         others, other_first = np.unique(dst, return_index=True)
         outside = ~np.isin(others, names)
@@ -182,10 +199,11 @@ def optimise(
     min_dist: float = MIN_DIST,
     seed: int = SEED,
     rounds: int = 8,
-    steps: int = 800,
+    steps: int | None = None,
     block_points: int = BLOCK_POINTS,
 ) -> DataFrame:
     """(id, x, y) after pulling along edges (src, dst, weight) from the starting positions."""
+    steps = steps or (STEPS_SMALL if n_points <= SMALL_POINTS else STEPS_LARGE)
     blocks = max(1, math.ceil(n_points / block_points))
     rounds = rounds if blocks > 1 else 1
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
@@ -203,7 +221,7 @@ def optimise(
     for number, part in enumerate(rates):
         ends = placed.join(at.toDF("src", "sx", "sy"), "src").join(at.toDF("dst", "dx", "dy"), "dst")
         moved = ends.groupBy("block").applyInArrow(
-            _round(part, shape, seed + number), "id string, x double, y double, n long"
+            _round(part, shape, seed + number), "id long, x double, y double, n long"
         )
         mean = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("x", "y")]
         at = cut(moved.groupBy("id").agg(*mean), "positions")
@@ -239,17 +257,20 @@ def layout(
     if method != "umap":
         raise ValueError(f"unknown method {method!r}")
 
-    reps = cut(distinct_vectors(rows, 1, key), "distinct-vectors")
-    flat = cut(_plane(reps.select(F.col("rep").alias("id"), "embedding"), dim), "plane")
+    ordered = distinct_vectors(rows, 1, key).sortWithinPartitions("rep")
+    numbered = ordered.withColumn("id", F.monotonically_increasing_id())
+    points = cut(numbered.select("id", "rep", "embedding"), "distinct-vectors")
+    flat = cut(_plane(points.select("id", "embedding"), dim), "plane")
     extent = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))), F.count("*")).first()
     scale = START_EXTENT / (extent[0] or 1.0)
-    start = flat.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+    at = flat.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
     n = extent[1]
     if n > 2:
-        near = nearest_distinct(reps, min(n_neighbors, n), neighbours)
-        edges = fuzzy_graph(near, n_neighbors)
-        start = optimise(edges, start, n, min_dist, seed, **options)
-    return spread_to_copies(rows, reps, start.withColumnRenamed("id", "src"), key)
+        vectors = points.select(F.col("id").alias("rep"), "embedding")
+        near = nearest_distinct(vectors, min(n_neighbors, n), neighbours)
+        at = optimise(fuzzy_graph(near, n_neighbors), at, n, min_dist, seed, **options)
+    named = points.select("id", F.col("rep").alias("src")).join(at, "id").drop("id")
+    return spread_to_copies(rows, points, named, key)
 
 
 def trustworthiness(df: DataFrame, at: DataFrame, k: int = 15, key: str = "arxiv_id") -> float:

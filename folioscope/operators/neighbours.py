@@ -30,7 +30,6 @@ MAX_PIVOTS = 1024
 QUERY_ROWS = 512
 SLACK = 1e-9
 
-_PAIRS = "src string, dst string, distance double"
 
 
 def closest(
@@ -61,6 +60,19 @@ def ranks(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1]
 
 
+def _kind(reps: DataFrame) -> str:
+    """Type of the ids of distinct vectors."""
+    return reps.schema["rep"].dataType.simpleString()
+
+
+def _pairs(kind: str) -> str:
+    return f"src {kind}, dst {kind}, distance double"
+
+
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy() if pa.types.is_integer(column.type) else np.asarray(column, dtype=object)
+
+
 def _pairs_table(src: np.ndarray, dst: np.ndarray, distances: np.ndarray) -> pa.Table:
     return pa.table({"src": pa.array(src), "dst": pa.array(dst), "distance": distances})
 
@@ -84,7 +96,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 def _own_block(k: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["rep"], dtype=object)
+        ids = _ids(table["rep"])
         vectors = matrix(table["embedding"])
         rows, cols, distances = closest(vectors, vectors, ranks(ids), k)
         return _pairs_table(ids[rows], ids[cols], distances)
@@ -96,10 +108,10 @@ def exact_neighbours(
     reps: DataFrame, n: int, k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(src, dst, distance) of the ``k`` nearest distinct vectors, itself included."""
-    vectors = reps.select("rep", "embedding")
+    vectors, kind = reps.select("rep", "embedding"), _kind(reps)
     if n <= block_rows:
         whole = vectors.withColumn("block", F.lit(0)).groupBy("block")
-        return whole.applyInArrow(_own_block(k), _PAIRS)
+        return whole.applyInArrow(_own_block(k), _pairs(kind))
 
     n_pivots = min(MAX_PIVOTS, math.ceil(n / block_rows))
     chosen = vectors.orderBy(F.xxhash64("rep")).limit(n_pivots).collect()  # bounded
@@ -121,7 +133,7 @@ def exact_neighbours(
 
     celled = cut(
         vectors.mapInArrow(
-            assign, "rep string, embedding array<float>, cell int, to_pivot double"
+            assign, f"rep {kind}, embedding array<float>, cell int, to_pivot double"
         ),
         "cells",
     )
@@ -142,7 +154,7 @@ def exact_neighbours(
     inner = np.array([r["inner"] for r in stats])
 
     def own(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["rep"], dtype=object)
+        ids = _ids(table["rep"])
         vectors = matrix(table["embedding"])
         rows, cols, distances = closest(vectors, vectors, ranks(ids), k)
         reach = np.full(len(ids), np.inf)
@@ -156,7 +168,7 @@ def exact_neighbours(
                 "embedding": table["embedding"],
                 "block": table["block"],
                 "reach": reach,
-                "dst": pa.ListArray.from_arrays(starts, pa.array(ids[cols], pa.string())),
+                "dst": pa.ListArray.from_arrays(starts, pa.array(ids[cols], table["rep"].type)),
                 "distance": pa.ListArray.from_arrays(starts, pa.array(distances)),
             }
         )
@@ -164,8 +176,8 @@ def exact_neighbours(
     within = cut(
         blocked.groupBy("block").applyInArrow(
             own,
-            "src string, embedding array<float>, block long, reach double, "
-            "dst array<string>, distance array<double>",
+            f"src {kind}, embedding array<float>, block long, reach double, "
+            f"dst array<{kind}>, distance array<double>",
         ),
         "own-blocks",
     )
@@ -191,21 +203,20 @@ def exact_neighbours(
 
     routed = cut(
         within.select("src", "embedding", "block", "reach").mapInArrow(
-            route, "src string, embedding array<float>, block long, target long"
+            route, f"src {kind}, embedding array<float>, block long, target long"
         ),
         "routes",
     )
     # A group is one block of queries and one block of candidates, both of bounded size.
-    meetings = routed.select("block", "target").distinct()
-    candidates = blocked.select(F.col("block").alias("target"), "rep", "embedding").join(
-        meetings, "target"
-    )
+    meetings = routed.select(F.col("block").alias("guest"), F.col("target").alias("host")).distinct()
+    hosts = blocked.select(F.col("block").alias("host"), "rep", "embedding")
+    candidates = hosts.join(meetings, "host")
 
     def across(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if not queries.num_rows or not corpus.num_rows:
-            return _pairs_table(np.array([], dtype=str), np.array([], dtype=str), np.array([]))
-        q_ids = np.asarray(queries["src"], dtype=object)
-        c_ids = np.asarray(corpus["rep"], dtype=object)
+            return _pairs_table(_ids(queries["src"])[:0], _ids(queries["src"])[:0], np.zeros(0))
+        q_ids = _ids(queries["src"])
+        c_ids = _ids(corpus["rep"])
         rows, cols, distances = closest(
             matrix(queries["embedding"]), matrix(corpus["embedding"]), ranks(c_ids), k
         )
@@ -213,8 +224,8 @@ def exact_neighbours(
 
     met = (
         routed.groupBy("block", "target")
-        .cogroup(candidates.groupBy("block", "target"))
-        .applyInArrow(across, _PAIRS)
+        .cogroup(candidates.groupBy("guest", "host"))
+        .applyInArrow(across, _pairs(kind))
     )
     zipped = F.explode(F.arrays_zip("dst", "distance")).alias("e")
     home = within.select("src", zipped).select("src", "e.dst", "e.distance")
@@ -252,8 +263,8 @@ def forest_neighbours(
     reps: DataFrame,
     n: int,
     k: int,
-    trees: int = 8,
-    leaf_rows: int = 512,
+    trees: int = 12,
+    leaf_rows: int = 1024,
     task_rows: int = 20_000,
     max_sample: int = 65_536,
     seed: int = 42,
@@ -264,7 +275,7 @@ def forest_neighbours(
     one pass; each task then splits its share further, down to ``leaf_rows``. Every row is in a
     leaf of every tree. A share that is still larger than planned is divided by hash.
     """
-    vectors = reps.select("rep", "embedding")
+    vectors, kind = reps.select("rep", "embedding"), _kind(reps)
     depth = max(0, math.ceil(math.log2(max(1.0, n / task_rows))))
     depth = min(depth, int(math.log2(max_sample)) - 3)
     grown = []
@@ -289,7 +300,7 @@ def forest_neighbours(
                 )
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["rep"], dtype=object)
+        ids = _ids(table["rep"])
         order = ranks(ids)
         arranged = np.argsort(order)
         ids, x, order = ids[arranged], matrix(table["embedding"])[arranged], order[arranged]
@@ -301,9 +312,11 @@ def forest_neighbours(
         src, dst, distances = (np.concatenate(c) for c in zip(*found, strict=True))
         return _pairs_table(ids[src], ids[dst], distances)
 
-    routed = vectors.mapInArrow(route, "rep string, embedding array<float>, tree int, leaf long")
+    routed = vectors.mapInArrow(
+        route, f"rep {kind}, embedding array<float>, tree int, leaf long"
+    )
     share = F.pmod(F.xxhash64("rep", "tree"), F.lit(spread)).alias("share")
-    pairs = routed.groupBy("tree", "leaf", share).applyInArrow(within, _PAIRS)
+    pairs = routed.groupBy("tree", "leaf", share).applyInArrow(within, _pairs(kind))
     return _best(pairs.groupBy("src", "dst").agg(F.min("distance").alias("distance")), k)
 
 

@@ -309,7 +309,7 @@ _SLOT = "cast('0x' || substring(md5(w), 1, 8) AS bigint)"
         cast(sum(CASE WHEN {_SLOT} // 64 % 2 = 0 THEN 1 ELSE -1 END) AS double) AS s
       FROM words GROUP BY 1, 2)
     SELECT t.arxiv_id, cast(r.i AS int) AS dim,
-      round(coalesce(v.s / nullif(l.length, 0), 0), 4) AS value
+      round(cast(coalesce(v.s / nullif(l.length, 0), 0) AS float)::double, 4) AS value
     FROM texts t CROSS JOIN range(0, 64) r(i)
     LEFT JOIN (SELECT arxiv_id, sqrt(sum(s * s)) AS length FROM sums GROUP BY arxiv_id) l
       ON l.arxiv_id = t.arxiv_id

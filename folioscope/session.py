@@ -46,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may go without that setting; it then gets its own temporary folder.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(FALLBACK_CONF, None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from folioscope.operators.prepare import paper_projection
 from folioscope.sources.corpus import with_year_month
@@ -57,31 +57,30 @@ def embed(
     out: str = "embedding",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add a vector column computed by the embedder, one call per Arrow batch.
+    """Add a vector column computed by the embedder, one call per Arrow batch of texts.
 
     A null text gives a null vector. ``partitions`` first deals the rows evenly over so many
     tasks, worth its shuffle only for a slow model.
     """
     rows = df.repartition(partitions) if partitions else df
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pandas()
+    @arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            texts = part.to_pandas()
             known = texts.notna().to_numpy()
             vectors = np.zeros((0, 0), np.float32)
             if known.any():
                 vectors = np.ascontiguousarray(embedder(texts[known]), dtype=np.float32)
             width = vectors.shape[1] if len(vectors) else 0
             offsets = np.concatenate([[0], np.cumsum(np.where(known, width, 0))])
-            column = pa.ListArray.from_arrays(
+            yield pa.ListArray.from_arrays(
                 pa.array(offsets, pa.int32()),
                 pa.array(vectors.ravel(), pa.float32()),
                 mask=pa.array(~known),
             )
-            yield batch.append_column(out, column)
 
-    return rows.mapInArrow(run, schema)
+    return rows.withColumn(out, run(text))
 
 
 def embed_query(text: str, embedder: Embedder) -> list[float]:

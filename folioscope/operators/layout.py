@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ STEPS_LARGE = 1200
 BLOCK_POINTS = 16_384
 HUB_EDGES = 16_384
 START_EXTENT = 10.0
+COPIES_LISTED = 16
 
 
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -111,7 +113,10 @@ def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
             )
 
     directed = lists.mapInArrow(run, "src long, dst long, weight double")
-    both = directed.unionByName(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    there = F.struct("src", "dst")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = directed.select(F.explode(F.array(there, back)).alias("e"), "weight")
+    both = both.select("e.src", "e.dst", "weight")
     # a + b - ab, where b is 0 for an edge seen from one side only
     product = F.when(F.count("*") > 1, F.min("weight") * F.max("weight")).otherwise(0.0)
     return both.groupBy("src", "dst").agg((F.sum("weight") - product).alias("weight"))
@@ -163,31 +168,29 @@ def _descend(
 
 
 def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
-    """Task of one block: its edges with the positions of both ends in, its points out."""
+    """Task of one block: its edges and the positions of all their ends in, its points out."""
 
-    def run(key: tuple, edges: pa.Table) -> pa.Table:
+    def run(key: tuple, edges: pa.Table, ends: pa.Table) -> pa.Table:
         edges = edges.sort_by([("src", "ascending"), ("dst", "ascending")])
         src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
-        names, first, counts = np.unique(src, return_index=True, return_counts=True)
-        others, other_first = np.unique(dst, return_index=True)
-        outside = ~np.isin(others, names)
-        everyone = np.concatenate([names, others[outside]])
-        order = np.argsort(everyone)
-        ends = order[np.searchsorted(everyone, dst, sorter=order)]
-        own = np.stack([np.asarray(edges["sx"])[first], np.asarray(edges["sy"])[first]], axis=1)
-        halo = other_first[outside]
-        far = np.stack([np.asarray(edges["dx"])[halo], np.asarray(edges["dy"])[halo]], axis=1)
-        at = _descend(
-            np.concatenate([own, far]),
-            len(names),
+        own, first, counts = np.unique(src, return_index=True, return_counts=True)
+        ids = ends["id"].to_numpy()
+        outside = ids[~np.isin(ids, own)]
+        everyone = np.concatenate([own, np.sort(outside)])
+        by_id, by_end = np.argsort(everyone), np.argsort(ids)
+        at = np.stack([ends["x"].to_numpy(), ends["y"].to_numpy()], axis=1)
+        at = at[by_end[np.searchsorted(ids, everyone, sorter=by_end)]]
+        moved = _descend(
+            at,
+            len(own),
             np.append(first, len(src)),
-            ends,
-            np.asarray(edges["weight"]),
+            by_id[np.searchsorted(everyone, dst, sorter=by_id)],
+            edges["weight"].to_numpy(),
             steps,
             shape,
             np.random.default_rng([seed, int(key[0].as_py())]),
         )
-        return pa.table({"id": pa.array(names), "x": at[:, 0], "y": at[:, 1], "n": counts})
+        return pa.table({"id": own, "x": moved[:, 0], "y": moved[:, 1], "n": counts})
 
     return run
 
@@ -202,38 +205,53 @@ def optimise(
     steps: int | None = None,
     block_points: int = BLOCK_POINTS,
 ) -> DataFrame:
-    """(id, x, y) after pulling along edges (src, dst, weight) from the starting positions."""
+    """(id, x, y) after pulling along edges (src, dst, weight) from the starting positions.
+
+    Edges stay with their block all the time. A round sends each block the positions of the
+    points its edges touch, once per point, and gathers the points it moved.
+    """
     steps = steps or (STEPS_SMALL if n_points <= SMALL_POINTS else STEPS_LARGE)
     blocks = max(1, math.ceil(n_points / block_points))
     rounds = rounds if blocks > 1 else 1
-    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    hubs = degrees.where(F.col("degree") > HUB_EDGES)
+    edges = cut(edges, "edges")
+    hubs = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_EDGES)
     parts = F.ceil(F.coalesce("degree", F.lit(1)) / F.lit(HUB_EDGES))
     replica = F.pmod(F.xxhash64("dst"), parts)
     block = F.pmod(F.xxhash64("src", replica), F.lit(blocks)).cast("int")
-    placed = cut(
-        edges.join(hubs, "src", "left").select("src", "dst", "weight", block.alias("block")),
-        "edges",
+    tasks = min(blocks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = (
+        edges.join(hubs, "src", "left")
+        .select("src", "dst", "weight", block.alias("block"))
+        .repartition(tasks, "block")
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    ends = F.explode(F.array("src", "dst")).alias("id")
+    touched = placed.select(F.col("block").alias("home"), ends).distinct()
+    touched = touched.persist(StorageLevel.MEMORY_AND_DISK)
     shape = curve(min_dist)
     rates = np.array_split(1.0 - np.arange(steps) / steps, rounds)
     at = start
     for number, part in enumerate(rates):
-        ends = placed.join(at.toDF("src", "sx", "sy"), "src").join(at.toDF("dst", "dx", "dy"), "dst")
-        moved = ends.groupBy("block").applyInArrow(
-            _round(part, shape, seed + number), "id long, x double, y double, n long"
+        moved = (
+            placed.groupBy("block")
+            .cogroup(touched.join(at, "id").groupBy("home"))
+            .applyInArrow(
+                _round(part, shape, seed + number), "id long, x double, y double, n long"
+            )
         )
         mean = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("x", "y")]
         at = cut(moved.groupBy("id").agg(*mean), "positions")
+    placed.unpersist()
+    touched.unpersist()
     return at
 
 
 def _plane(vectors: DataFrame, dim: int) -> DataFrame:
     """Coordinates of (id, embedding) rows on the two main axes."""
-    n, mean, cov = A.moments(vectors, "embedding", dim)
+    _, mean, cov = A.moments(vectors, "embedding", dim)
     _, axes = A.principal_axes(cov, 2)
-    at = A.project(vectors, "embedding", "_xy", mean, axes)
-    return at.select("id", F.col("_xy")[0].alias("x"), F.get("_xy", F.lit(1)).alias("y"))
+    at = vectors.select("id", A.coordinates("embedding", mean, axes).alias("at"))
+    return at.select("id", F.col("at")[0].alias("x"), F.get("at", F.lit(1)).alias("y"))
 
 
 def layout(
@@ -257,9 +275,9 @@ def layout(
     if method != "umap":
         raise ValueError(f"unknown method {method!r}")
 
-    ordered = distinct_vectors(rows, 1, key).sortWithinPartitions("rep")
+    ordered = distinct_vectors(rows, COPIES_LISTED, key).sortWithinPartitions("rep")
     numbered = ordered.withColumn("id", F.monotonically_increasing_id())
-    points = cut(numbered.select("id", "rep", "embedding"), "distinct-vectors")
+    points = cut(numbered, "distinct-vectors")
     flat = cut(_plane(points.select("id", "embedding"), dim), "plane")
     extent = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))), F.count("*")).first()
     scale = START_EXTENT / (extent[0] or 1.0)
@@ -270,24 +288,4 @@ def layout(
         near = nearest_distinct(vectors, min(n_neighbors, n), neighbours)
         at = optimise(fuzzy_graph(near, n_neighbors), at, n, min_dist, seed, **options)
     named = points.select("id", F.col("rep").alias("src")).join(at, "id").drop("id")
-    return spread_to_copies(rows, points, named, key)
-
-
-def trustworthiness(df: DataFrame, at: DataFrame, k: int = 15, key: str = "arxiv_id") -> float:
-    """Share in [0, 1] by which neighbours in the plane are neighbours in the vector space.
-
-    A measure for tests and reports on small tables: it ranks all pairs.
-    """
-    joined = df.select(key, "embedding").join(at, key).orderBy(key).toPandas()
-    vectors, plane = np.stack(joined["embedding"]).astype(float), joined[["x", "y"]].to_numpy()
-
-    def order(m: np.ndarray) -> np.ndarray:
-        squares = ((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(squares, np.inf)
-        return squares.argsort(axis=1, kind="stable")
-
-    n = len(joined)
-    rank = np.empty((n, n), dtype=int)
-    rank[np.arange(n)[:, None], order(vectors)] = np.arange(n)
-    penalty = np.maximum(rank[np.arange(n)[:, None], order(plane)[:, :k]] - k + 1, 0).sum()
-    return 1.0 - 2.0 * penalty / (n * k * (2 * n - 3 * k - 1))
+    return spread_to_copies(rows, points.drop("id"), named, COPIES_LISTED, key)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.arrays import matrix
 from folioscope.operators.filters import valid_embeddings
+from folioscope.operators.prepare import hash_sample
 from folioscope.session import cut
 
 BLOCK_ROWS = 4096
@@ -29,6 +30,7 @@ EXACT_LIMIT = 4096  # above it "auto" uses the forest
 MAX_PIVOTS = 1024
 QUERY_ROWS = 512
 SLACK = 1e-9
+CANDIDATES = 500_000  # scores looked at together
 
 
 
@@ -113,8 +115,8 @@ def exact_neighbours(
         whole = vectors.withColumn("block", F.lit(0)).groupBy("block")
         return whole.applyInArrow(_own_block(k), _pairs(kind))
 
-    n_pivots = min(MAX_PIVOTS, math.ceil(n / block_rows))
-    chosen = vectors.orderBy(F.xxhash64("rep")).limit(n_pivots).collect()  # bounded
+    wanted = min(MAX_PIVOTS, math.ceil(n / block_rows))
+    chosen = hash_sample(vectors, "rep", n, wanted).collect() or [vectors.first()]
     pivots = np.array([row["embedding"] for row in chosen], dtype=np.float64)
 
     def to_pivots(x: np.ndarray) -> np.ndarray:
@@ -138,7 +140,7 @@ def exact_neighbours(
         "cells",
     )
     sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    splits = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))) for c in range(n_pivots)])
+    splits = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))) for c in range(len(pivots))])
     part = F.pmod(F.xxhash64("rep"), F.get(splits, F.col("cell")))
     blocked = celled.withColumn("block", F.col("cell").cast("long") * F.lit(1 << 32) + part)
 
@@ -280,8 +282,8 @@ def forest_neighbours(
     depth = min(depth, int(math.log2(max_sample)) - 3)
     grown = []
     if depth:
-        rows = vectors.orderBy(F.xxhash64("rep", F.lit(seed))).limit(min(max_sample, 64 << depth))
-        sample = np.array([r["embedding"] for r in rows.collect()], dtype=np.float64)
+        rows = hash_sample(vectors, "rep", n, min(max_sample, 64 << depth), seed).collect()
+        sample = np.array([r["embedding"] for r in rows], dtype=np.float64)
         grown = [_grow(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)]
     spread = max(1, math.ceil(n / 2**depth / (2 * task_rows)))
 
@@ -317,7 +319,9 @@ def forest_neighbours(
     )
     share = F.pmod(F.xxhash64("rep", "tree"), F.lit(spread)).alias("share")
     pairs = routed.groupBy("tree", "leaf", share).applyInArrow(within, _pairs(kind))
-    return _best(pairs.groupBy("src", "dst").agg(F.min("distance").alias("distance")), k)
+    # Both the grouping and the ranking below keep to this one shuffle.
+    met = pairs.repartition("src").groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    return _best(met, k)
 
 
 def nearest_distinct(
@@ -334,15 +338,22 @@ def nearest_distinct(
     raise ValueError(f"unknown method {method!r}")
 
 
-def spread_to_copies(df: DataFrame, reps: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def spread_to_copies(
+    df: DataFrame, reps: DataFrame, found: DataFrame, limit: int, key: str
+) -> DataFrame:
     """Give each row of ``df`` the columns found for its distinct vector (``src``).
 
-    A vector with very many copies makes one key hot; adaptive execution splits that side.
+    ``reps`` lists up to ``limit`` ids of each vector. The rows of a vector with fewer copies are
+    all listed; only vectors with more are looked up by value. There are at most rows / limit of
+    them, usually none, and adaptive execution splits a hot one.
     """
-    by_vector = reps.select("rep", "embedding").join(
-        found.withColumnRenamed("src", "rep"), "rep"
-    )
-    return df.select(key, "embedding").join(by_vector.drop("rep"), "embedding").drop("embedding")
+    known = reps.join(found.withColumnRenamed("src", "rep"), "rep")
+    columns = [c for c in found.columns if c != "src"]
+    many = F.size("ids") >= limit
+    listed = known.where(~many).select(F.explode("ids").alias(key), *columns)
+    rows = df.select(F.col(key).cast("string").alias(key), "embedding")
+    looked_up = rows.join(known.where(many).select("embedding", *columns), "embedding")
+    return listed.unionByName(looked_up.select(key, *columns))
 
 
 def knn_graph(
@@ -352,15 +363,15 @@ def knn_graph(
 
     A row is its own first neighbour; equal distances are ordered by id.
     """
-    rows = valid_embeddings(df)
-    reps = cut(distinct_vectors(rows, k, key), "distinct-vectors")
+    rows, limit = valid_embeddings(df), k + 1
+    reps = cut(distinct_vectors(rows, limit, key), "distinct-vectors")
     near = nearest_distinct(reps, k, method, **options)
     members = reps.select(F.col("rep").alias("dst"), F.explode("ids").alias("id"))
     pairs = near.join(members, "dst").select("src", F.col("id").alias("dst"), "distance")
     entry = F.struct("distance", "dst")
-    lists = _best(pairs, k + 1).groupBy("src").agg(F.array_sort(F.collect_list(entry)).alias("near"))
-    spread = spread_to_copies(rows, reps, lists, key)
-    own = F.array(F.struct(F.lit(0.0).alias("distance"), F.col(key).cast("string").alias("dst")))
+    lists = _best(pairs, limit).groupBy("src").agg(F.array_sort(F.collect_list(entry)).alias("near"))
+    spread = spread_to_copies(rows, reps, cut(lists, "neighbour-lists"), limit, key)
+    own = F.array(F.struct(F.lit(0.0).alias("distance"), F.col(key).alias("dst")))
     others = F.filter("near", lambda e: e["dst"] != F.col(key))
     ranked = F.slice(F.concat(own, others), 1, k)
     edges = spread.select(F.col(key).alias("src"), F.posexplode(ranked).alias("pos", "e"))
@@ -408,23 +419,16 @@ def _search_chunk(mine: list, papers: DataFrame, k: int, query_key: str, key: st
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.zeros((len(names), 0), dtype=object)
-        best = np.zeros((len(names), 0))
+        best = (np.zeros(0, dtype=int), np.zeros(0, dtype=object), np.zeros(0))
         for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            x = matrix(batch.column(1))
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
-            own = np.asarray(batch.column(0), dtype=object)
-            scores = np.concatenate([best, q @ x.T], axis=1)
-            known = np.concatenate([ids, np.broadcast_to(own, (len(names), len(own)))], axis=1)
-            best, ids = _keep_best(scores, known, k)
+            if batch.num_rows and len(names):
+                x = matrix(batch.column(1))
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
+                own = np.asarray(batch.column(0), dtype=object)
+                best = _keep_best(best, _candidates(q, x, own, k), k)
+        rows, ids, scores = best
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(names, best.shape[1]), pa.string()),
-                pa.array(ids.ravel(), pa.string()),
-                pa.array(best.ravel(), pa.float64()),
-            ],
+            [pa.array(names[rows], pa.string()), pa.array(ids, pa.string()), pa.array(scores)],
             [query_key, key, "similarity"],
         )
 
@@ -432,10 +436,32 @@ def _search_chunk(mine: list, papers: DataFrame, k: int, query_key: str, key: st
     return rows.mapInArrow(run, f"{query_key} string, {key} string, similarity double")
 
 
-def _keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest scores of each row; equal scores by id."""
-    if scores.shape[1] <= k:
-        return scores, ids
-    order = ranks(ids.ravel()).reshape(ids.shape)
-    picked = np.stack([np.lexsort((o, -s))[:k] for s, o in zip(scores, order, strict=True)])
-    return np.take_along_axis(scores, picked, axis=1), np.take_along_axis(ids, picked, axis=1)
+_Scored = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _candidates(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> _Scored:
+    """(query row, id, similarity) of at least the ``k`` best of each query.
+
+    The final sums run row by row, so that equal vectors score the same.
+    """
+    parts = []
+    size = max(1, CANDIDATES // len(x))
+    for start in range(0, len(q), size):
+        some = q[start : start + size]
+        scores = some @ x.T
+        limit = np.partition(scores, -k, axis=1)[:, -k, None] if len(x) > k else -np.inf
+        rows, cols = np.nonzero(scores >= limit - SLACK)
+        exact = (some[rows] * x[cols]).sum(axis=1)
+        parts.append(_keep_best((rows + start, ids[cols], exact), None, k))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _keep_best(one: _Scored, other: _Scored | None, k: int) -> _Scored:
+    """The ``k`` best entries of each query; equal scores by id."""
+    if other is not None:
+        one = tuple(np.concatenate(column) for column in zip(one, other, strict=True))
+    rows, ids, scores = one
+    order = np.lexsort((ranks(ids), -scores, rows)) if len(rows) else np.zeros(0, dtype=int)
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[keep], scores[keep]

@@ -69,6 +69,20 @@ def sample_rows(df: DataFrame, n: int, key: str = "arxiv_id", seed: int = 42) ->
     return whole.unionByName(rest).drop("_h", "_band")
 
 
+def hash_sample(df: DataFrame, key: str, total: int, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` of ``total`` rows, never more, chosen by a seeded hash of the key.
+
+    For planning on a bounded part of the data. A filter on the hash comes first, so that the
+    final sort sees little more than ``n`` rows from all tasks together.
+    """
+    if total <= n:
+        return df
+    bound = min(1.0, 1.1 * n / total)
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
+    chosen = df.where(place < int(bound * (1 << 40)))
+    return chosen.orderBy(place, key).limit(n)
+
+
 def subject_codes_column(df: DataFrame, category: str = "subject") -> DataFrame:
     """Add ``subject_codes``; without a ``subjects`` column it is the category alone."""
     if "subjects" in df.columns:

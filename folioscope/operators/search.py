@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as V
+from folioscope.operators.arrays import cosine_to
 from folioscope.operators.embedding import Embedder, embed_query
 from folioscope.operators.filters import filter_papers, valid_embeddings
 from folioscope.operators.listing import search_hit_projection
@@ -19,9 +20,10 @@ MAX_K = 1000
 
 
 def similarity(query: Sequence[float] | Column, column: str = "embedding") -> Column:
-    """Cosine similarity of a vector column to a query vector."""
-    vector = query if isinstance(query, Column) else V.vector(query)
-    return V.cosine_similarity(column, vector)
+    """Cosine similarity of a vector column without nulls to a query vector."""
+    if isinstance(query, Column):
+        return V.cosine_similarity(column, query)
+    return cosine_to(query, column)
 
 
 def top_k(

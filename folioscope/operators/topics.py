@@ -16,6 +16,7 @@ from folioscope.functions import text as X
 from folioscope.functions import vectors as V
 from folioscope.operators import arrays as A
 from folioscope.operators.filters import valid_embeddings
+from folioscope.operators.prepare import hash_sample
 from folioscope.operators.stats import topic_doc_counts
 from folioscope.schemas import TOPIC_ASSIGNMENT, TOPIC_TERM
 from folioscope.session import cut
@@ -88,12 +89,12 @@ def fit(
         )
     values, axes = A.principal_axes(cov, n_components)
     whitening = axes / np.sqrt(np.maximum(values, 1e-12))[:, None]
-    white = cut(A.project(rows, "embedding", "z", mean, whitening), "whitened")
+    white = cut(rows.select(key, A.coordinates("embedding", mean, whitening).alias("z")), "whitened")
 
     k = len(whitening)
     width = 1 + k * k + k
     w = _decorrelate(np.random.default_rng(seed).standard_normal((k, k)))
-    first = white.orderBy(F.xxhash64(key, F.lit(seed))).limit(WARM_ROWS).select("z").collect()
+    first = hash_sample(white, key, n, WARM_ROWS, seed).select("z").collect()
     sample = np.array([row["z"] for row in first])
     for _ in range(max_passes):
         old, w = w, _next(w, _update_sums(w)(sample))
@@ -111,9 +112,8 @@ def fit(
 
 def topic_weights(df: DataFrame, components: Components) -> DataFrame:
     """Rows that have a vector, which is replaced by ``topic_weights`` and ``dominant_topic``."""
-    weighed = A.project(
-        valid_embeddings(df), "embedding", "topic_weights", components.mean, components.unmixing
-    )
+    weights = A.coordinates("embedding", components.mean, components.unmixing)
+    weighed = valid_embeddings(df).withColumn("topic_weights", weights).drop("embedding")
     return weighed.withColumn("dominant_topic", V.dominant_topic("topic_weights"))
 
 
@@ -159,11 +159,18 @@ def term_weights(
 
 
 def topic_terms(
-    weighed: DataFrame, n_topics: int, n: int = TOP_TERMS, min_documents: int = MIN_DOCUMENTS
+    weighed: DataFrame,
+    n_topics: int,
+    n: int = TOP_TERMS,
+    min_documents: int = MIN_DOCUMENTS,
+    assignments: DataFrame | None = None,
 ) -> DataFrame:
-    """(topic_id, rank, term, weight, doc_count): the top terms of each topic."""
+    """(topic_id, rank, term, weight, doc_count): the top terms of each topic.
+
+    Documents are counted from ``assignments`` where these are stored already.
+    """
     best = top_terms(term_weights(weighed, n_topics, min_documents), n)
-    counts = topic_doc_counts(weighed, n_topics)
+    counts = topic_doc_counts(weighed if assignments is None else assignments, n_topics)
     return best.join(counts, "topic_id").select(
         "topic_id", "rank", "term", F.round("weight", 4).alias("weight"), "doc_count"
     )
@@ -180,7 +187,8 @@ def extract_topics(
     components = fit(df, n_components, seed)
     weighed = topic_weights(df, components)
     n_topics = len(components.unmixing)
-    return topic_terms(weighed, n_topics, top_n, min_documents), assign_topics(weighed)
+    assignments = cut(assign_topics(weighed), "assignments")
+    return topic_terms(weighed, n_topics, top_n, min_documents, assignments), assignments
 
 
 def save_topics(topics: DataFrame, assignments: DataFrame, root: str, key: str) -> None:

@@ -293,6 +293,13 @@ def _(spark, sf):
     return layout.layout(B.current(spark, sf))
 
 
+@query("layout_documents")
+def _(spark, sf):
+    """Places of all papers that have a text, by the vectors of the whole texts."""
+    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text(chars=None).alias("text"))
+    return layout.layout(embed(texts, HashedWords()).select("arxiv_id", "embedding"))
+
+
 _SLOT = "cast('0x' || substring(md5(w), 1, 8) AS bigint)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.vectors import dominant_topic
 from folioscope.operators import catalog
 from folioscope.operators.prepare import prepare
-from folioscope.session import new_path
+from folioscope.session import new_path, ship_package
 from folioscope.sources.corpus import with_year_month, write_partitioned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,7 +127,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; its twin may use the derived tables above."""
 
     def register(fn: Query) -> Query:
-        QUERIES[key] = fn
+        QUERIES[key] = lambda spark, sf_dir: fn(ship_package(spark), sf_dir)
         if sql is not None:
             ORACLES[key] = _CTES + sql
         return fn

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 FALLBACK_CONF = "spark.folioscope.sharedDir"
+SHIPPED_CONF = "spark.folioscope.shippedTo"
 
 
 def build_session(
@@ -37,7 +40,17 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Hand this package to the Python workers of the application, once."""
+    if spark.conf.get(SHIPPED_CONF, None) != spark.sparkContext.applicationId:
+        here = Path(__file__).parent
+        base = Path(tempfile.mkdtemp(prefix="folioscope-package-")) / here.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", here.parent, here.name))
+        spark.conf.set(SHIPPED_CONF, spark.sparkContext.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import layout as L
+from tests.measures import trustworthiness
 
 
 def table(spark, vectors):
@@ -36,7 +37,7 @@ def test_one_finite_place_per_row(papers, places):
 
 def test_keeps_neighbours_better_than_two_axes(papers, places):
     plane = L.layout(papers, "pca")
-    assert L.trustworthiness(papers, places) > max(0.9, L.trustworthiness(papers, plane))
+    assert trustworthiness(papers, places) > max(0.9, trustworthiness(papers, plane))
 
 
 def test_same_seed_same_places(papers, places):
@@ -46,14 +47,14 @@ def test_same_seed_same_places(papers, places):
 
 def test_rounds_over_several_blocks(papers):
     split = L.layout(papers, block_points=120)
-    assert L.trustworthiness(papers, split) > 0.9
+    assert trustworthiness(papers, split) > 0.9
 
 
 def test_hub_replicas(spark, papers, monkeypatch):
     monkeypatch.setattr(L, "HUB_EDGES", 10)
     split = L.layout(papers, block_points=120)
     assert split.count() == 500
-    assert L.trustworthiness(papers, split) > 0.85
+    assert trustworthiness(papers, split) > 0.85
 
 
 def test_copies_share_a_place(spark):

@@ -42,7 +42,8 @@ def test_counts_read_no_column(landed):
 def test_search_keeps_k_rows_per_task(spark, small):
     df = search.top_k(B.current(spark, small).select("arxiv_id", "embedding"), [0.1] * 64, 50)
     text = plan(df)
-    assert "TakeOrderedAndProject" in text and "Python" not in text
+    assert "TakeOrderedAndProject" in text and "BatchEvalPython" not in text
+    assert "ArrowEvalPython [run(embedding" in text
 
 
 def test_top_subjects_keep_n_rows_per_task(spark, small):

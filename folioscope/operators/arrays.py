@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -29,41 +30,45 @@ def list_column(rows: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
 
 
 def sum_over(
-    df: DataFrame, column: str, width: int, fn: Callable[[np.ndarray], np.ndarray]
-) -> np.ndarray:
-    """Sum of ``fn(vectors)``, a vector of ``width`` numbers, over all rows.
+    df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray]
+) -> np.ndarray | None:
+    """Sum of ``fn(vectors)``, a vector of fixed length, over all rows; None without rows.
 
     Every task reduces its rows to one vector, a few tasks add those up, and the driver adds the
     last few; what it receives does not depend on the number of rows or tasks.
     """
 
     def reduce(batches: Iterator[pa.RecordBatch], f: Callable) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            if batch.num_rows:
-                total += f(matrix(batch.column(0)))
-        task = pa.array([TaskContext.get().partitionId()], pa.int32())
-        yield pa.RecordBatch.from_arrays([list_column(total[None, :]), task], ["total", "task"])
+        parts = (f(matrix(batch.column(0))) for batch in batches if batch.num_rows)
+        total = None
+        for part in parts:
+            total = part if total is None else total + part
+        if total is not None:
+            task = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_arrays([list_column(total[None, :]), task], ["total", "task"])
 
     schema = "total array<double>, task int"
     partial = df.select(column).mapInArrow(lambda b: reduce(b, fn), schema)
     # Adding up in task order makes the result the same in every run.
     ordered = partial.repartition(MERGE_TASKS, "task").sortWithinPartitions("task")
     merged = ordered.mapInArrow(lambda b: reduce(b, lambda m: m.sum(axis=0)), schema)
-    return np.sum([r["total"] for r in sorted(merged.collect(), key=lambda r: r["task"])], axis=0)
+    totals = [r["total"] for r in sorted(merged.collect(), key=lambda r: r["task"])]
+    return np.sum(totals, axis=0) if totals else None
 
 
-def moments(df: DataFrame, column: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and covariance of a vector column."""
 
     def sums(x: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-    total = sum_over(df, column, 1 + dim + dim * dim, sums)
-    n = int(total[0])
-    mean = total[1 : dim + 1] / max(n, 1)
-    second = total[dim + 1 :].reshape(dim, dim) / max(n, 1)
-    return n, mean, second - np.outer(mean, mean)
+    total = sum_over(df, column, sums)
+    if total is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    dim = math.isqrt(len(total) - 1)  # there are 1 + dim + dim^2 numbers
+    mean = total[1 : dim + 1] / total[0]
+    second = total[dim + 1 :].reshape(dim, dim) / total[0]
+    return int(total[0]), mean, second - np.outer(mean, mean)
 
 
 def principal_axes(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -207,8 +207,8 @@ def optimise(
 ) -> DataFrame:
     """(id, x, y) after pulling along edges (src, dst, weight) from the starting positions.
 
-    Edges stay with their block all the time. A round sends each block the positions of the
-    points its edges touch, once per point, and gathers the points it moved.
+    Edges are shuffled once, to their block, and stay there. A round sends each block the
+    positions of the points its edges touch, once per point, and gathers the points it moved.
     """
     steps = steps or (STEPS_SMALL if n_points <= SMALL_POINTS else STEPS_LARGE)
     blocks = max(1, math.ceil(n_points / block_points))
@@ -218,7 +218,7 @@ def optimise(
     parts = F.ceil(F.coalesce("degree", F.lit(1)) / F.lit(HUB_EDGES))
     replica = F.pmod(F.xxhash64("dst"), parts)
     block = F.pmod(F.xxhash64("src", replica), F.lit(blocks)).cast("int")
-    tasks = min(blocks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         edges.join(hubs, "src", "left")
         .select("src", "dst", "weight", block.alias("block"))
@@ -226,8 +226,12 @@ def optimise(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     ends = F.explode(F.array("src", "dst")).alias("id")
-    touched = placed.select(F.col("block").alias("home"), ends).distinct()
-    touched = touched.persist(StorageLevel.MEMORY_AND_DISK)
+    touched = (
+        placed.select(F.col("block").alias("home"), ends)
+        .repartition(tasks, "id")
+        .distinct()
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     shape = curve(min_dist)
     rates = np.array_split(1.0 - np.arange(steps) / steps, rounds)
     at = start
@@ -246,9 +250,11 @@ def optimise(
     return at
 
 
-def _plane(vectors: DataFrame, dim: int) -> DataFrame:
+def _plane(vectors: DataFrame) -> DataFrame:
     """Coordinates of (id, embedding) rows on the two main axes."""
-    _, mean, cov = A.moments(vectors, "embedding", dim)
+    n, mean, cov = A.moments(vectors, "embedding")
+    if not n:
+        return vectors.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     _, axes = A.principal_axes(cov, 2)
     at = vectors.select("id", A.coordinates("embedding", mean, axes).alias("at"))
     return at.select("id", F.col("at")[0].alias("x"), F.get("at", F.lit(1)).alias("y"))
@@ -266,26 +272,21 @@ def layout(
 ) -> DataFrame:
     """(key, x, y) for every row that has a vector. Equal vectors share a place."""
     rows = valid_embeddings(df)
-    head = rows.select("embedding").first()
-    if head is None:
-        return rows.select(F.col(key).cast("string"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    dim = len(head["embedding"])
     if method == "pca":
-        return _plane(rows.select(F.col(key).alias("id"), "embedding"), dim).withColumnRenamed("id", key)
+        return _plane(rows.select(F.col(key).alias("id"), "embedding")).withColumnRenamed("id", key)
     if method != "umap":
         raise ValueError(f"unknown method {method!r}")
 
     ordered = distinct_vectors(rows, COPIES_LISTED, key).sortWithinPartitions("rep")
     numbered = ordered.withColumn("id", F.monotonically_increasing_id())
     points = cut(numbered, "distinct-vectors")
-    flat = cut(_plane(points.select("id", "embedding"), dim), "plane")
+    flat = _plane(points.select("id", "embedding"))
     extent = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))), F.count("*")).first()
-    scale = START_EXTENT / (extent[0] or 1.0)
+    scale, n = START_EXTENT / (extent[0] or 1.0), extent[1]
     at = flat.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
-    n = extent[1]
     if n > 2:
         vectors = points.select(F.col("id").alias("rep"), "embedding")
-        near = nearest_distinct(vectors, min(n_neighbors, n), neighbours)
+        near = nearest_distinct(vectors, n, min(n_neighbors, n), neighbours)
         at = optimise(fuzzy_graph(near, n_neighbors), at, n, min_dist, seed, **options)
     named = points.select("id", F.col("rep").alias("src")).join(at, "id").drop("id")
     return spread_to_copies(rows, points.drop("id"), named, COPIES_LISTED, key)

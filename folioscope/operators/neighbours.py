@@ -325,10 +325,9 @@ def forest_neighbours(
 
 
 def nearest_distinct(
-    reps: DataFrame, k: int, method: str = "auto", **options: int
+    reps: DataFrame, n: int, k: int, method: str = "auto", **options: int
 ) -> DataFrame:
-    """(src, dst, distance) between distinct vectors by the chosen method."""
-    n = reps.count()
+    """(src, dst, distance) between ``n`` distinct vectors by the chosen method."""
     if method == "auto":
         method = "exact" if n <= EXACT_LIMIT else "forest"
     if method == "exact":
@@ -345,12 +344,14 @@ def spread_to_copies(
 
     ``reps`` lists up to ``limit`` ids of each vector. The rows of a vector with fewer copies are
     all listed; only vectors with more are looked up by value. There are at most rows / limit of
-    them, usually none, and adaptive execution splits a hot one.
+    them, often none, and adaptive execution splits a hot one.
     """
     known = reps.join(found.withColumnRenamed("src", "rep"), "rep")
     columns = [c for c in found.columns if c != "src"]
     many = F.size("ids") >= limit
     listed = known.where(~many).select(F.explode("ids").alias(key), *columns)
+    if reps.where(many).isEmpty():
+        return listed
     rows = df.select(F.col(key).cast("string").alias(key), "embedding")
     looked_up = rows.join(known.where(many).select("embedding", *columns), "embedding")
     return listed.unionByName(looked_up.select(key, *columns))
@@ -365,7 +366,7 @@ def knn_graph(
     """
     rows, limit = valid_embeddings(df), k + 1
     reps = cut(distinct_vectors(rows, limit, key), "distinct-vectors")
-    near = nearest_distinct(reps, k, method, **options)
+    near = nearest_distinct(reps, reps.count(), k, method, **options)
     members = reps.select(F.col("rep").alias("dst"), F.explode("ids").alias("id"))
     pairs = near.join(members, "dst").select("src", F.col("id").alias("dst"), "distance")
     entry = F.struct("distance", "dst")

@@ -79,9 +79,7 @@ def fit(
     if n_components < 1:
         raise ValueError("n_components must be at least 1")
     rows = valid_embeddings(df).select(key, "embedding")
-    head = rows.first()
-    dim = len(head["embedding"]) if head else 0
-    n, mean, cov = A.moments(rows, "embedding", dim) if head else (0, np.zeros(0), np.zeros((0, 0)))
+    n, mean, cov = A.moments(rows, "embedding")
     if n < n_components + 1:
         raise ValueError(
             f"not enough papers with embeddings ({n}) for {n_components} topics; "
@@ -92,7 +90,6 @@ def fit(
     white = cut(rows.select(key, A.coordinates("embedding", mean, whitening).alias("z")), "whitened")
 
     k = len(whitening)
-    width = 1 + k * k + k
     w = _decorrelate(np.random.default_rng(seed).standard_normal((k, k)))
     first = hash_sample(white, key, n, WARM_ROWS, seed).select("z").collect()
     sample = np.array([row["z"] for row in first])
@@ -102,10 +99,10 @@ def fit(
             break
     if n > len(sample):
         for _ in range(max_passes):
-            old, w = w, _next(w, A.sum_over(white, "z", width, _update_sums(w)))
+            old, w = w, _next(w, A.sum_over(white, "z", _update_sums(w)))
             if _change(old, w) < tolerance:
                 break
-    skew = A.sum_over(white, "z", k, lambda z: ((z @ w.T) ** 3).sum(axis=0))
+    skew = A.sum_over(white, "z", lambda z: ((z @ w.T) ** 3).sum(axis=0))
     w = w * np.where(skew < 0, -1.0, 1.0)[:, None]
     return Components(mean, w @ whitening)
 

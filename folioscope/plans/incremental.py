@@ -38,9 +38,14 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return read_corpus(spark, path, EMBEDDED_PAPER)
 
 
-def current_manifest(spark: SparkSession, landed_path: str, embedded_path: str) -> DataFrame:
-    """Manifest of the landed and the embedded table as they are now."""
-    landed = partition_manifest(spark, landed_path, KEYED_PAPER)
+def current_manifest(
+    spark: SparkSession, landed_path: str, embedded_path: str, with_counts: bool = True
+) -> DataFrame:
+    """Manifest of the landed and the embedded table as they are now.
+
+    Without counts it takes a listing of files only.
+    """
+    landed = partition_manifest(spark, landed_path, KEYED_PAPER, with_counts)
     embedded = partition_manifest(spark, embedded_path, EMBEDDED_PAPER, with_counts=False)
     return catalog_manifest(landed, landed, embedded)
 
@@ -63,7 +68,7 @@ def embed_missing(
     """
     chosen = spark.createDataFrame([(c,) for c in categories], "subject string")
     grid = catalog.request_grid(chosen, year_months)
-    manifest = current_manifest(spark, landed_path, embedded_path)
+    manifest = current_manifest(spark, landed_path, embedded_path, with_counts=False)
     plan = catalog.embedding_work_plan(catalog.grid_status(grid, manifest), now, force)
     plan = cut(plan, "work-plan")  # the embedded table changes below
     todo = catalog.todo_partitions(plan).where("downloaded")

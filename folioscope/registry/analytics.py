@@ -12,7 +12,7 @@ from folioscope.registry import base as B
 from folioscope.registry.base import query
 from folioscope.registry.derivations import _HIT
 from folioscope.schemas import KEYS
-from folioscope.session import new_path
+from folioscope.session import cut, new_path
 
 
 @query(
@@ -297,7 +297,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Places of all papers that have a text, by the vectors of the whole texts."""
     texts = B.papers(spark, sf).select("arxiv_id", X.embed_text(chars=None).alias("text"))
-    return layout.layout(embed(texts, HashedWords()).select("arxiv_id", "embedding"))
+    spread = spark.sparkContext.defaultParallelism
+    vectors = embed(texts, HashedWords(), partitions=spread).select("arxiv_id", "embedding")
+    return layout.layout(cut(vectors, "vectors"))
 
 
 _SLOT = "cast('0x' || substring(md5(w), 1, 8) AS bigint)"

@@ -75,11 +75,15 @@ def partition_manifest(
 def catalog_manifest(upstream: DataFrame, landed: DataFrame, embedded: DataFrame) -> DataFrame:
     """Partitions of three tables side by side, in the manifest schema.
 
-    ``n_rows`` is the landed count, ``size_bytes`` the upstream size (landed when unknown there).
+    ``n_rows`` is the landed count (0 where it was not taken), ``size_bytes`` the upstream size
+    (landed when unknown there).
     """
     up = upstream.select(*KEYS, F.col("size_bytes").alias("up_size"))
     land = landed.select(
-        *KEYS, F.col("n_rows").alias("land_rows"), F.col("size_bytes").alias("land_size")
+        *KEYS,
+        F.col("n_rows").alias("land_rows"),
+        F.col("size_bytes").alias("land_size"),
+        F.lit(True).alias("landed"),
     )
     emb = embedded.select(*KEYS, F.unix_timestamp("modified_at").alias("embedded_at"))
     joined = up.join(land, list(KEYS), "full_outer").join(emb, list(KEYS), "full_outer")
@@ -87,7 +91,7 @@ def catalog_manifest(upstream: DataFrame, landed: DataFrame, embedded: DataFrame
         *KEYS,
         F.coalesce("land_rows", F.lit(0)).cast("long").alias("n_rows"),
         F.coalesce("up_size", "land_size", F.lit(0)).cast("long").alias("size_bytes"),
-        F.col("land_rows").isNotNull().alias("downloaded"),
+        F.coalesce("landed", F.lit(False)).alias("downloaded"),
         F.col("embedded_at").isNotNull().alias("embedded"),
         F.col("embedded_at").cast("long").alias("embedded_at"),
     )

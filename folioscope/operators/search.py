@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as V
@@ -18,6 +18,8 @@ QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 DEFAULT_K = 200
 MAX_K = 1000
 
+MERGE_GROUPS = 256
+
 
 def similarity(query: Sequence[float] | Column, column: str = "embedding") -> Column:
     """Cosine similarity of a vector column without nulls to a query vector."""
@@ -29,14 +31,23 @@ def similarity(query: Sequence[float] | Column, column: str = "embedding") -> Co
 def top_k(
     papers: DataFrame, query: Sequence[float] | Column, k: int = DEFAULT_K, key: str = "arxiv_id"
 ) -> DataFrame:
-    """The ``k`` papers most similar to a query vector, as ``similarity``; ties by key.
-
-    Each task keeps its best ``k`` rows, so only ``k`` rows per task are ever gathered.
-    """
+    """The ``k`` papers most similar to a query vector, as ``similarity``; ties by key."""
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     scored = valid_embeddings(papers).withColumn("similarity", similarity(query))
-    return scored.orderBy(F.desc_nulls_last("similarity"), F.col(key)).limit(k)
+    return largest(scored, k, F.desc_nulls_last("similarity"), F.col(key))
+
+
+def largest(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows in the given order, in two steps.
+
+    Each task keeps its first ``k`` rows, a few hundred tasks do so again for theirs, and only
+    what these keep is gathered: the last step does not grow with the number of tasks.
+    """
+    grouped = df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+    place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+    first = grouped.withColumn("_place", place).where(F.col("_place") <= k)
+    return first.drop("_group", "_place").orderBy(*order).limit(k)
 
 
 def search(

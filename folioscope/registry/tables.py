@@ -86,7 +86,7 @@ def _(spark, sf):
     return month.select(*_SHOWN)
 
 
-@query("scan_raw_corpus", f"SELECT {_LIST}, length(abstract) AS chars FROM keyed")
+@query("scan_raw_corpus", f"SELECT {_LIST}, cast(length(abstract) AS int) AS chars FROM keyed")
 def _(spark, sf):
     path = new_path(spark, "raw")
     B.papers(spark, sf).write.parquet(path)
@@ -161,7 +161,7 @@ def _(spark, sf):
     return subjects.load_subject_codes(spark, path)
 
 
-@query("save_load_topics", "SELECT arxiv_id, dominant_topic FROM weighed")
+@query("save_topics", "SELECT arxiv_id, dominant_topic FROM weighed")
 def _(spark, sf):
     rows = B.weighed(spark, sf)
     root = new_path(spark, "topics")

@@ -5,7 +5,12 @@ Each job takes what is there, stops, and goes on from its checkpoint the next ti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.operators.embedding import Embedder, embed_papers
@@ -59,17 +64,34 @@ def stream_embed(
     )
 
 
+def first_in_batch(key: str) -> Column:
+    """True for the first row of each key within an Arrow batch; only the key goes to Python."""
+
+    @arrow_udf("boolean")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            codes = part.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.zeros(len(codes), dtype=bool)
+            first[np.unique(codes, return_index=True)[1]] = True
+            yield pa.array(first)
+
+    # Depends on the batch, so no other filter may be moved across it.
+    return run.asNondeterministic()(key)
+
+
 def first_arrivals(
     staged: DataFrame, key: str = "arxiv_id", event_time: str | None = None, delay: str = "7 days"
 ) -> DataFrame:
     """The first row of each key.
 
     Without an event time all keys ever seen stay in state; with one, only those of the last
-    ``delay``.
+    ``delay``. Repetitions are first dropped within each Arrow batch, so that a hot key sends few
+    rows to the task that holds its state.
     """
+    thinned = staged.where(first_in_batch(key))
     if event_time is None:
-        return staged.dropDuplicates([key])
-    return staged.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+        return thinned.dropDuplicates([key])
+    return thinned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def stream_dedupe(

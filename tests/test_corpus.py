@@ -196,3 +196,9 @@ def test_watermarked_dedupe(spark):
     stream = spark.readStream.format("rate").load().withColumn("arxiv_id", F.col("value").cast("string"))
     plan = jobs.first_arrivals(stream, event_time="timestamp")._jdf.queryExecution().analyzed().toString()
     assert "DeduplicateWithinWatermark" in plan
+
+
+def test_repetitions_are_dropped_before_the_state(spark):
+    rows = spark.range(0, 3000, 1, 1).withColumn("arxiv_id", F.when(F.col("id") % 3 > 0, "hot"))
+    kept = rows.where("id >= 5").where(jobs.first_in_batch("arxiv_id"))
+    assert sorted(r["id"] for r in kept.collect()) == [5, 6]

@@ -9,7 +9,7 @@ from check import oracle, rows_of
 INVENTORY = """
 scan_subject_month scan_subjects_month scan_subject_year scan_selection load_month_all_subjects
 scan_raw_corpus write_partitioned_corpus write_embeddings publish_current_dataset land_partitions
-load_subject_codes save_load_topics partition_manifest sample_rows
+load_subject_codes save_topics partition_manifest sample_rows
 subject_code partition_year_month year_month ensure_year_month subject_codes embed_text
 paper_projection paper_listing search_hit_projection subject_group selection_hash status_label
 filter_year_months filter_categories drop_unkeyed valid_embeddings restrict_to_hits filter_topic

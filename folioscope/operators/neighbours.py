@@ -367,10 +367,12 @@ def knn_graph(
     rows, limit = valid_embeddings(df), k + 1
     reps = cut(distinct_vectors(rows, limit, key), "distinct-vectors")
     near = nearest_distinct(reps, reps.count(), k, method, **options)
-    members = reps.select(F.col("rep").alias("dst"), F.explode("ids").alias("id"))
-    pairs = near.join(members, "dst").select("src", F.col("id").alias("dst"), "distance")
+    if not reps.where(F.size("ids") > 1).isEmpty():
+        members = reps.select(F.col("rep").alias("dst"), F.explode("ids").alias("id"))
+        pairs = near.join(members, "dst").select("src", F.col("id").alias("dst"), "distance")
+        near = _best(pairs, limit)
     entry = F.struct("distance", "dst")
-    lists = _best(pairs, limit).groupBy("src").agg(F.array_sort(F.collect_list(entry)).alias("near"))
+    lists = near.groupBy("src").agg(F.array_sort(F.collect_list(entry)).alias("near"))
     spread = spread_to_copies(rows, reps, cut(lists, "neighbour-lists"), limit, key)
     own = F.array(F.struct(F.lit(0.0).alias("distance"), F.col(key).alias("dst")))
     others = F.filter("near", lambda e: e["dst"] != F.col(key))

@@ -34,13 +34,13 @@ def prepare(raw: DataFrame) -> DataFrame:
 def dedupe(
     df: DataFrame, key: str = "arxiv_id", order_by: Sequence[str] = KEYS
 ) -> DataFrame:
-    """One row per key: the first in the given order.
+    """One row per key: the first in the given order, rows that are equal there by content.
 
     ``row_number() = 1`` is pruned inside every map task before the shuffle, so a key that holds
     a large share of all rows sends one row per task.
     """
     order = [F.col(c).asc_nulls_last() for c in order_by if c in df.columns]
-    window = Window.partitionBy(key).orderBy(*(order or [F.col(key)]))
+    window = Window.partitionBy(key).orderBy(*order, F.xxhash64(*df.columns))
     numbered = df.withColumn("_n", F.row_number().over(window))
     return numbered.where("_n = 1").drop("_n")
 

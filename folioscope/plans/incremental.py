@@ -173,6 +173,6 @@ def run(
     dataset = combine_and_layout(
         spark, embedded_path, layouts_path, categories, year_months, **options
     )
-    publish(dataset, published_path)
-    counts = catalog.partition_counts(read_embeddings(spark, embedded_path))
-    return catalog.run_totals(plan, counts)
+    publish(dataset, published_path, cluster_by=("year_month", "arxiv_id"))
+    chosen = scan_selection(read_embeddings(spark, embedded_path), categories, year_months)
+    return catalog.run_totals(plan, catalog.partition_counts(chosen))

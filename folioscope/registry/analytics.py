@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.functions import vectors as V
 from folioscope.operators import layout, listing, neighbours, search, stats, topics
-from folioscope.operators.embedding import HashedWords, embed
+from folioscope.operators.embedding import HashedWords, embed, embed_query
 from folioscope.operators.filters import filter_papers, valid_embeddings
 from folioscope.plans import incremental
 from folioscope.registry import base as B
@@ -277,6 +277,26 @@ def _(spark, sf):
     return topics.assign_topics(topics.topic_weights(rows, topics.fit(rows, 10)))
 
 
+@query(
+    "topic_covariance",
+    """SELECT cast(a.i AS int) AS a, cast(b.i AS int) AS b,
+    (SELECT count(*) FROM current_ WHERE embedding IS NOT NULL) AS n_papers,
+    CASE WHEN a.i = b.i THEN 1.0::double ELSE 0.0::double END AS covariance
+    FROM range(0, 10) a(i) CROSS JOIN range(0, 10) b(i)""",
+)
+def _(spark, sf):
+    """Topic weights of all papers have unit variance and are uncorrelated."""
+    rows = B.current(spark, sf).select("arxiv_id", "embedding")
+    weighed = topics.topic_weights(rows, topics.fit(rows, 10))
+    left = F.posexplode("topic_weights").alias("a", "x")
+    right = F.posexplode("topic_weights").alias("b", "y")
+    pairs = weighed.select(left, "topic_weights").select("a", "x", right)
+    return pairs.groupBy("a", "b").agg(
+        F.count("*").alias("n_papers"),
+        F.abs(F.round(F.covar_pop("x", "y"), 3)).alias("covariance"),
+    )
+
+
 @query("topic_terms")
 def _(spark, sf):
     rows = B.current(spark, sf).select("arxiv_id", "title", "abstract", "embedding")
@@ -305,24 +325,30 @@ def _(spark, sf):
 _SLOT = "cast('0x' || substring(md5(w), 1, 8) AS bigint)"
 
 
-@query(
-    "embed_texts",
-    f""", texts AS (
+_HASHED = f""", asked AS (SELECT '{search.QUERY_PREFIX}model training data' AS text),
+    texts AS (
       SELECT arxiv_id, substring(title || ' ' || abstract, 1, {X.TEXT_CHARS}) AS text
-      FROM papers WHERE title || abstract IS NOT NULL),
+      FROM papers WHERE title || abstract IS NOT NULL UNION ALL SELECT 'asked', text FROM asked),
     words AS (
       SELECT arxiv_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w
       FROM texts),
     sums AS (
       SELECT arxiv_id, {_SLOT} % 64 AS dim,
         cast(sum(CASE WHEN {_SLOT} // 64 % 2 = 0 THEN 1 ELSE -1 END) AS double) AS s
-      FROM words GROUP BY 1, 2)
-    SELECT t.arxiv_id, cast(r.i AS int) AS dim,
-      round(cast(coalesce(v.s / nullif(l.length, 0), 0) AS float)::double, 4) AS value
-    FROM texts t CROSS JOIN range(0, 64) r(i)
-    LEFT JOIN (SELECT arxiv_id, sqrt(sum(s * s)) AS length FROM sums GROUP BY arxiv_id) l
-      ON l.arxiv_id = t.arxiv_id
-    LEFT JOIN sums v ON v.arxiv_id = t.arxiv_id AND v.dim = r.i""",
+      FROM words GROUP BY 1, 2),
+    hashed AS (
+      SELECT t.arxiv_id, cast(r.i AS int) AS dim,
+        cast(coalesce(v.s / nullif(l.length, 0), 0) AS float)::double AS value
+      FROM texts t CROSS JOIN range(0, 64) r(i)
+      LEFT JOIN (SELECT arxiv_id, sqrt(sum(s * s)) AS length FROM sums GROUP BY arxiv_id) l
+        ON l.arxiv_id = t.arxiv_id
+      LEFT JOIN sums v ON v.arxiv_id = t.arxiv_id AND v.dim = r.i)
+"""
+
+
+@query(
+    "embed_texts",
+    f"{_HASHED} SELECT arxiv_id, dim, round(value, 4) AS value FROM hashed WHERE arxiv_id <> 'asked'",
 )
 def _(spark, sf):
     texts = B.papers(spark, sf).select("arxiv_id", X.embed_text().alias("text"))
@@ -332,6 +358,23 @@ def _(spark, sf):
     return parts.withColumn("value", value)
 
 
+@query(
+    "text_similarity",
+    f"""{_HASHED} SELECT d.arxiv_id, round(sum(d.value * q.value) /
+      nullif(sqrt(sum(d.value * d.value)) * sqrt(sum(q.value * q.value)), 0), 4) + 0 AS similarity
+    FROM hashed d JOIN hashed q ON q.dim = d.dim AND q.arxiv_id = 'asked'
+    WHERE d.arxiv_id <> 'asked' GROUP BY d.arxiv_id""",
+)
+def _(spark, sf):
+    """Score of every paper for a search text."""
+    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text().alias("text"))
+    model = HashedWords(64)
+    vectors = valid_embeddings(embed(texts, model))
+    asked = embed_query(search.QUERY_PREFIX + "model training data", model)
+    score = F.round(search.similarity(asked), 4) + F.lit(0.0)
+    return vectors.select("arxiv_id", score.alias("similarity"))
+
+
 _CHOSEN = ["cs.AI", "cs.LG", "gr-qc"]
 _MONTHS = [("2023", f"{m:02d}") for m in range(1, 13)]
 _CHOSEN_SQL = f"subject IN {tuple(_CHOSEN)} AND year = '2023'"

@@ -127,7 +127,7 @@ def _(spark, sf):
     root = new_path(spark, "published")
     rows = B.current(spark, sf, vectors=False)
     snapshots.publish(rows.where("year_month IS NOT NULL"), root)
-    snapshots.publish(rows, root)
+    snapshots.publish(rows, root, cluster_by=("year_month", "arxiv_id"))
     return snapshots.read_published(spark, root).select("arxiv_id", "year_month", "x", "y")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.sources.corpus import path_exists
@@ -21,8 +23,16 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
-def publish(df: DataFrame, root: str, version: int | None = None) -> str:
-    """Write the next (or the given) version. Readers of the previous one are not disturbed."""
+def publish(
+    df: DataFrame, root: str, version: int | None = None, cluster_by: Sequence[str] = ()
+) -> str:
+    """Write the next (or the given) version. Readers of the previous one are not disturbed.
+
+    ``cluster_by`` sorts the rows over the files, so that a filter on these columns skips most of
+    them; a unique last column lets a hot value spread over many files.
+    """
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     if version is None:
         version = max(_versions(df.sparkSession, root), default=0) + 1
     target = f"{root}/v{version:08d}"

@@ -120,6 +120,14 @@ def test_published_versions(spark):
     assert snapshots.read_published(spark, root).count() == 5
 
 
+def test_published_rows_are_clustered(spark, small):
+    root = new_path(spark, "clustered")
+    snapshots.publish(B.current(spark, small, vectors=False), root, cluster_by=("year_month", "arxiv_id"))
+    rows = snapshots.read_published(spark, root)
+    files = rows.where("year_month = '2023-05'").select(F.input_file_name()).distinct().count()
+    assert rows.count() == 200 and 1 <= files <= 2
+
+
 def test_hashed_words():
     import pandas as pd
 

@@ -201,7 +201,7 @@ def optimise(
     n_points: int,
     min_dist: float = MIN_DIST,
     seed: int = SEED,
-    rounds: int = 8,
+    rounds: int = 16,
     steps: int | None = None,
     block_points: int = BLOCK_POINTS,
 ) -> DataFrame:

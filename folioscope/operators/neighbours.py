@@ -116,8 +116,10 @@ def exact_neighbours(
         return whole.applyInArrow(_own_block(k), _pairs(kind))
 
     wanted = min(MAX_PIVOTS, math.ceil(n / block_rows))
-    chosen = hash_sample(vectors, "rep", n, wanted).collect() or [vectors.first()]
-    pivots = np.array([row["embedding"] for row in chosen], dtype=np.float64)
+    chosen = hash_sample(vectors, "rep", n, wanted).select("embedding").toArrow()
+    if not chosen.num_rows:
+        chosen = vectors.limit(1).select("embedding").toArrow()
+    pivots = matrix(chosen["embedding"])
 
     def to_pivots(x: np.ndarray) -> np.ndarray:
         squares = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * x @ pivots.T
@@ -282,8 +284,8 @@ def forest_neighbours(
     depth = min(depth, int(math.log2(max_sample)) - 3)
     grown = []
     if depth:
-        rows = hash_sample(vectors, "rep", n, min(max_sample, 64 << depth), seed).collect()
-        sample = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        chosen = hash_sample(vectors, "rep", n, min(max_sample, 64 << depth), seed)
+        sample = matrix(chosen.select("embedding").toArrow()["embedding"])
         grown = [_grow(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)]
     spread = max(1, math.ceil(n / 2**depth / (2 * task_rows)))
 

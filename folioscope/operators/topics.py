@@ -91,8 +91,7 @@ def fit(
 
     k = len(whitening)
     w = _decorrelate(np.random.default_rng(seed).standard_normal((k, k)))
-    first = hash_sample(white, key, n, WARM_ROWS, seed).select("z").collect()
-    sample = np.array([row["z"] for row in first])
+    sample = A.matrix(hash_sample(white, key, n, WARM_ROWS, seed).select("z").toArrow()["z"])
     for _ in range(max_passes):
         old, w = w, _next(w, _update_sums(w)(sample))
         if _change(old, w) < tolerance:

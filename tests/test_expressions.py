@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -127,3 +128,27 @@ def test_month_bounds(spark):
     assert df.where(C.not_after("2024-01")).count() == 2
     assert df.where(C.not_before("2024-01")).count() == 2
     assert df.select(F.count_if(C.not_after("2023-11"))).first()[0] == 0
+
+
+_TOKENS = st.sampled_from(["1", "22", "99", "Jan", "Dec", "Foo", "jan", "2024", "20x4", "(v2)", "on", "", " ", "\t"])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(_TOKENS, max_size=5).map(" ".join), min_size=1, max_size=40))
+def test_dates_of_any_shape(spark, rows):
+    """Both date rules next to a plain statement of each."""
+    number = {m: f"{i:02d}" for i, m in enumerate(X.MONTHS, 1)}
+
+    def strict(s):
+        parts = s.split()
+        ok = len(parts) == 3 and parts[1] in number
+        return f"{parts[2]}-{number[parts[1]]}" if ok else None
+
+    def lenient(s):
+        found = re.search(r"\d{1,2}\s+(\w{3})\s+(\d{4})", s)
+        ok = found and found[1] in number
+        return (found[2], number[found[1]]) if ok else (None, None)
+
+    assert values(spark, rows, X.year_month("c")) == [strict(s) for s in rows]
+    both = F.struct(X.partition_year("c"), X.partition_month("c"))
+    assert [tuple(r) for r in values(spark, rows, both)] == [lenient(s) for s in rows]

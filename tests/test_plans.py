@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import catalog, prepare, search, stats, topics
+from folioscope.operators import catalog, neighbours, prepare, search, stats, topics
 from folioscope.registry import base as B
 from folioscope.sources import corpus
 
@@ -56,6 +56,11 @@ def test_dedupe_prunes_before_the_shuffle(spark, small):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_copies_are_pruned_before_the_shuffle(spark, small):
+    rows = B.current(spark, small).select("arxiv_id", "embedding")
+    assert plan(neighbours.distinct_vectors(rows, 16, "arxiv_id")).count("WindowGroupLimit") == 2
+
+
 def test_top_terms_prune_before_the_shuffle(spark, small):
     text = plan(topics.top_terms(topics.term_weights(B.weighed(spark, small), 5)))
     assert text.count("WindowGroupLimit") == 2

@@ -11,7 +11,6 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from folioscope.operators.prepare import paper_projection
@@ -94,8 +93,3 @@ def embed_papers(
     """Keyed papers to embedded papers: project, embed the text, drop it, add the year-month."""
     projected = paper_projection(keyed)
     return with_year_month(embed(projected, embedder, partitions=partitions).drop("text"))
-
-
-def non_zero(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector is not zero."""
-    return df.where(F.exists(column, lambda x: x != 0))

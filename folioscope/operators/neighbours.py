@@ -142,14 +142,18 @@ def exact_neighbours(
         "cells",
     )
     sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    splits = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))) for c in range(len(pivots))])
-    part = F.pmod(F.xxhash64("rep"), F.get(splits, F.col("cell")))
+    splits = [max(1, math.ceil(sizes.get(c, 0) / block_rows)) for c in range(len(pivots))]
+    part = F.pmod(F.xxhash64("rep"), F.get(F.array(*map(F.lit, splits)), F.col("cell")))
     blocked = celled.withColumn("block", F.col("cell").cast("long") * F.lit(1 << 32) + part)
 
     # One row per block: n / block_rows rows in all.
     stats = (
         blocked.groupBy("block")
-        .agg(F.first("cell").alias("cell"), F.max("to_pivot").alias("outer"), F.min("to_pivot").alias("inner"))
+        .agg(
+            F.first("cell").alias("cell"),
+            F.max("to_pivot").alias("outer"),
+            F.min("to_pivot").alias("inner"),
+        )
         .collect()
     )
     block_ids = np.array([r["block"] for r in stats], dtype=np.int64)
@@ -298,8 +302,9 @@ def forest_neighbours(
                     planes, cuts = grown[tree]
                     side = np.einsum("ij,ij->i", x, planes[place]) > cuts[place]
                     place = 2 * place + 1 + side
+                number = pa.array(np.full(batch.num_rows, tree), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(np.full(batch.num_rows, tree), pa.int32()), pa.array(place)],
+                    [*batch.columns, number, pa.array(place)],
                     ["rep", "embedding", "tree", "leaf"],
                 )
 

@@ -139,11 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0) -> np.ndarray:
     return train(labelled_sample(docs, labels, "quality", fold, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``score``, the probability that a text is good, over the whole text.
+def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, the probability that a text is good, over the whole text.
 
     Null and empty texts and texts without words get the score of the bias alone. Equal texts
-    score alike; a column named ``score`` is replaced; all other columns are kept.
+    score alike; a column of that name is replaced; all other columns are kept.
     """
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
@@ -154,4 +154,4 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             found = [scores(texts, model.value) for _, texts in text_slices([batch])]
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn("score", run("text"))
+    return docs.withColumn(column, run("text"))

@@ -1,0 +1,250 @@
+"""Secret scans, with built-in functions only.
+
+Patterns give the base spans. Beside them, long runs of code characters go through a battery of
+tests for randomness, each for the alphabet of the inferred encoding: chi-squared for uniform use of
+the alphabet, the number of runs above and below the median, and the serial correlation of
+neighbours. A run is a candidate only if it is so long that the chi-squared test would have found
+ordinary writing out. Over all candidates of about the same length, those whose randomness is
+rejected by the Benjamini-Hochberg procedure are dropped; the others are secrets. So of the dropped
+ones the expected share of random keys stays below RATE for short and long runs alike.
+
+Positions are code points, the end exclusive. A null text counts as empty.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioscope.session import cut
+
+RATE = 0.05
+BINS_PER_DECADE, LAST_BIN = 20, 400  # of p-values; their number bounds what the driver sees
+LEAST = 24  # characters of a candidate at least, whatever its alphabet
+TEXT_REPEAT = 0.066  # chance that two letters of ordinary writing are the same
+POWER = 1.645 + 2.326  # normal quantiles of 5 % errors and 99 % power
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = (
+    "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+)
+# A run from the first AKIA on, and runs of hexadecimal digits, each at least so long.
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
+RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
+
+# Encodings from narrow to wide: name, pattern, size of the alphabet.
+ENCODINGS = (
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16),
+    ("lower", "^[a-z]+$", 26),
+    ("upper", "^[A-Z]+$", 26),
+    ("base32", "^[A-Z2-7]+$", 32),
+    ("base36", "^([a-z0-9]+|[A-Z0-9]+)$", 36),
+    ("letters", "^[A-Za-z]+$", 52),
+    ("base62", "^[A-Za-z0-9]+$", 62),
+    ("base64", "", 64),
+)
+
+
+def least_length(alphabet: int) -> int:
+    """Length from which on the chi-squared test tells ordinary writing from random symbols."""
+    excess = alphabet * TEXT_REPEAT - 1
+    if excess <= 0.1:  # few symbols: writing does not fit into the alphabet anyway
+        return LEAST
+    return max(LEAST, math.ceil(POWER * math.sqrt(2 * (alphabet - 1)) / excess))
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _places(text: Column, found: Column, pattern: str) -> Column:
+    """Starts of the leftmost matches: what lies between them is split off and added up."""
+    gaps = F.split(text, pattern, -1)
+    empty = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("starts"))
+    steps = F.zip_with(
+        F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found,
+        lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("match")),
+    )
+    added = F.aggregate(
+        steps, start,
+        lambda acc, s: F.struct(
+            (acc["at"] + s["gap"] + s["match"]).alias("at"),
+            F.concat(acc["starts"], F.array(acc["at"] + s["gap"])).alias("starts"),
+        ),
+    )
+    return F.when(F.size(found) > 0, added["starts"]).otherwise(empty)
+
+
+def _sf(z: Column) -> Column:
+    """Upper tail of the normal distribution (approximation with an error below 0.1 % of the tail)."""
+    x = F.least(F.abs(z), F.lit(37.0))
+    t = 1 / (1 + 0.5 * x / math.sqrt(2))
+    y = x / math.sqrt(2)
+    poly = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+        poly = poly * t + c
+    tail = 0.5 * t * F.exp(-y * y - 1.26551223 + t * poly)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chi_squared(run: Column, symbols: Column, n: Column, size: Column) -> Column:
+    """z of uneven use of the alphabet; Wilson-Hilferty: the cube root of chi-squared is nearly normal."""
+    squares = F.aggregate(
+        F.transform(F.array_distinct(symbols), lambda c: (F.length(run) - F.length(F.replace(run, c, F.lit("")))).cast("double")),
+        F.lit(0.0), lambda t, c: t + c * c,
+    )
+    df = size - 1
+    chi = F.greatest(size * squares / n - n, F.lit(1e-9))
+    return (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+
+
+def _runs(values: Column, n: Column) -> Column:
+    """z of the number of runs above and below the median (Wald-Wolfowitz); far out if one side is empty."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("runs"), F.lit(0).alias("ones"))
+    seen = _let(
+        F.element_at(F.sort_array(values), (n / 2).cast("int") + 1),
+        lambda middle: F.aggregate(
+            F.transform(values, lambda v: (v >= middle).cast("int")), start,
+            lambda a, v: F.struct(
+                v.alias("last"), (a["runs"] + (v != a["last"]).cast("int")).alias("runs"), (a["ones"] + v).alias("ones")
+            ),
+        ),
+    )
+
+    def z(found: Column) -> Column:
+        ones = found["ones"].cast("double")
+        expected = 2 * ones * (n - ones) / n + 1
+        variance = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9))
+        return F.when((ones > 0) & (ones < n), (found["runs"] - expected) / F.sqrt(variance)).otherwise(37.0)
+
+    return _let(seen, z)
+
+
+def _serial(values: Column, n: Column) -> Column:
+    """z of the correlation of neighbours; far out if all symbols are the same."""
+    zero = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("both"), F.lit(0.0).alias("own"))
+
+    def sums(mean: Column) -> Column:
+        return F.aggregate(
+            values, zero,
+            lambda a, v: F.struct(
+                (v - mean).alias("last"), (a["both"] + a["last"] * (v - mean)).alias("both"),
+                (a["own"] + (v - mean) * (v - mean)).alias("own"),
+            ),
+        )
+
+    found = _let(F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / n, sums)
+    return _let(found, lambda s: F.when(s["own"] > 0, (s["both"] / s["own"] + 1 / n) * F.sqrt(n)).otherwise(37.0))
+
+
+def battery(run: Column) -> Column:
+    """Struct of encoding, alphabet size and p-value of randomness of a run of code characters.
+
+    The p-value is three times the least of the three tests' (Bonferroni), 1 at most.
+    """
+    name, size = F.lit(ENCODINGS[-1][0]), F.lit(float(ENCODINGS[-1][2]))
+    for kind, pattern, m in reversed(ENCODINGS[:-1]):
+        fits = run.rlike(pattern)
+        name, size = F.when(fits, kind).otherwise(name), F.when(fits, float(m)).otherwise(size)
+    n = F.length(run).cast("double")
+
+    def tested(symbols: Column) -> Column:
+        values = F.transform(symbols, lambda c: F.ascii(c).cast("double"))
+        return _let(
+            values,
+            lambda v: F.struct(
+                _chi_squared(run, symbols, n, size).alias("chi"), F.abs(_runs(v, n)).alias("runs"), F.abs(_serial(v, n)).alias("serial")
+            ),
+        )
+
+    z = _let(F.filter(F.split(run, ""), lambda c: F.length(c) > 0), tested)
+    p = _let(z, lambda t: 3 * F.least(_sf(t["chi"]), 2 * _sf(t["runs"]), 2 * _sf(t["serial"])))
+    return F.struct(name.alias("encoding"), size.cast("int").alias("alphabet"), F.least(p, F.lit(1.0)).alias("p"))
+
+
+def _stratum(length: Column) -> Column:
+    """Runs whose lengths are within a factor of two are judged together."""
+    return F.floor(F.log2(length)).cast("int")
+
+
+def _bin(p: Column) -> Column:
+    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE), F.lit(LAST_BIN)).cast("int")
+
+
+def rejected_from(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """By stratum the first bin of p-values that Benjamini-Hochberg rejects, for those that have one.
+
+    ``candidates`` holds (stratum, bin). The histogram has at most LAST_BIN + 1 rows a stratum.
+    """
+    counts = candidates.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    smaller = Window.partitionBy("stratum").orderBy(F.desc("bin"))
+    every = Window.partitionBy("stratum")
+    ranked = counts.select("stratum", "bin", F.sum("n").over(smaller).alias("k"), F.sum("n").over(every).alias("all"))
+    # The largest p-value of a bin stands for it.
+    bound = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
+    rows = ranked.where(bound <= rate * F.col("k") / F.col("all")).groupBy("stratum").agg(F.min("bin").alias("first"))
+    return {r["stratum"]: r["first"] for r in rows.collect()}
+
+
+def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, base, found), one row for each row: arrays of (start, rank, end, kind, p) by start, then kind.
+
+    ``base`` holds the spans of the patterns, ``found`` these and the random runs that do not
+    overlap one of them. Only doc_id and text are read; repeated rows give repeated results.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": RUN}
+    rows = rows.withColumns({k: _matches(text, p) for k, p in patterns.items()})
+    rows = rows.withColumn("values", F.when(F.size("assign") > 0, _matches(text, ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumns({f"{k}_at": _places(text, F.col(k), p) for k, p in patterns.items()})
+
+    def spans(kind: str, rank: int) -> Column:
+        each = F.arrays_zip(F.col(f"{kind}_at").alias("at"), F.col(kind).alias("match"))
+        return F.transform(
+            each, lambda s: F.struct(
+                s["at"].alias("start"), F.lit(rank).alias("rank"), (s["at"] + F.length(s["match"])).alias("end"),
+                F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("p"),
+            )
+        )
+
+    kept = F.filter(F.arrays_zip(spans("assign", 0).alias("span"), F.col("values").alias("value")), lambda s: F.length(s["value"]) >= 6)
+    kept = F.transform(kept, lambda s: s["span"])
+    rows = rows.withColumn("base", F.array_sort(F.concat(kept, spans("access", 1), spans("hex", 2))))
+    rows = rows.withColumn("runs", F.arrays_zip(F.col("random_at").alias("at"), F.col("random").alias("match")))
+    clear = F.filter(
+        "runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["at"] + F.length(r["match"])) & (r["at"] < b["end"]))
+    )
+    tested = F.transform(clear, lambda r: F.struct(r["at"].alias("at"), F.length(r["match"]).alias("n"), battery(r["match"]).alias("test")))
+    found = cut(rows.select("doc_id", "base", tested.alias("tested")), "secrets")
+
+    least = F.create_map(*[F.lit(x) for name, _, m in ENCODINGS for x in (name, least_length(m))])
+    powered = F.filter("tested", lambda r: r["n"] >= F.try_element_at(least, r["test"]["encoding"]))
+    found = found.withColumn("tested", powered)
+    each = found.select(F.explode("tested").alias("r"))
+    first = rejected_from(each.select(_stratum(F.col("r.n")).alias("stratum"), _bin(F.col("r.test.p")).alias("bin")), rate)
+    limits = F.create_map(*[F.lit(x) for s in range(64) for x in (s, first.get(s, LAST_BIN + 1))])
+    random = F.filter("tested", lambda r: _bin(r["test"]["p"]) < F.try_element_at(limits, _stratum(r["n"])))
+    added = F.transform(
+        random, lambda r: F.struct(
+            r["at"].alias("start"), F.lit(len(KINDS)).alias("rank"), (r["at"] + r["n"]).alias("end"),
+            F.lit("random").alias("kind"), r["test"]["p"].alias("p"),
+        )
+    )
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("found"))
+
+
+def joined(spans: Column | str) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")

@@ -212,11 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0) -> Grammar:
     return train(labelled_sample(docs, labels, "toxic", fold, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
-def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` with ``score``, how likely a text is toxic, over the whole text.
+def score(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, how likely a text is toxic, over the whole text.
 
     Null and empty texts and texts without a matched clause get the score of no match. A column
-    named ``score`` is replaced; all other columns and repeated rows are kept.
+    of that name is replaced; all other columns and repeated rows are kept.
     """
     insults, weights = dict(grammar.insults), tuple(grammar.weights)
     model = docs.sparkSession.sparkContext.broadcast((insults, weights))
@@ -231,4 +231,4 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             found = [own[0].scores(texts) for _, texts in text_slices([batch])]
             yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.withColumn("score", run("text"))
+    return docs.withColumn(column, run("text"))

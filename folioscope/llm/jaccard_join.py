@@ -99,19 +99,29 @@ def _prefixes(words: int, percent: int, table):
     return run
 
 
+SET_BYTES = 6  # of a shingle's hash are compared in a pair of sets
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["set_x"], batch["set_y"], strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x = np.frombuffer(x.as_py(), np.uint8).reshape(-1, SET_BYTES)
+                y = np.frombuffer(y.as_py(), np.uint8).reshape(-1, SET_BYTES)
+                both = len(np.intersect1d(_wide(x), _wide(y), assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _wide(packed: np.ndarray) -> np.ndarray:
+    full = np.zeros((len(packed), 8), np.uint8)
+    full[:, :SET_BYTES] = packed
+    return full.view("<u8").ravel()
+
+
 class _Links:
     """Verification of candidate pairs against the whole sets of their texts."""
 
@@ -119,7 +129,7 @@ class _Links:
         self.docs, self.words, self.percent = docs, words, percent
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """Sets of the documents with these ids and of a few others.
+        """(doc_id, set) of the documents with these ids and of a few others, which joins leave out.
 
         A table of fixed size, broadcast to the scan, keeps most other texts from being shuffled;
         if it fills up on a very large corpus, more texts pass and the join that follows decides.
@@ -140,39 +150,52 @@ class _Links:
                 kept = batch.filter(pa.array(wanted[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]))
                 for part, texts in text_slices([kept]):
                     offsets, values = shingle_sets(texts, words)
-                    lists = pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "set"])
+                    packed = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
+                    sets = [packed[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
         texts = self.docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-        found = texts.mapInArrow(run, "doc_id long, set array<long>")
-        return found.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return texts.mapInArrow(run, "doc_id long, set binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose documents link, written to the shared folder."""
         pairs = cut(pairs.select("a", "b"), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.sets(ids)
-        # A repeated row of a document has the same set; one is enough.
-        sets = cut(sets.dropDuplicates(["doc_id"]), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_y"))
         met = pairs.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y")
-        return cut(met.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        # Repeated rows of a document verify a pair again.
+        return cut(met.mapInArrow(_verified(self.percent), "a long, b long").distinct(), "links")
 
 
 def _sized(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their sizes allow and that share enough prefix shingles."""
-    x = meta.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("matches").alias("m_a"))
-    y = meta.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("matches").alias("m_b"))
+    """Pairs that their sizes allow and that share enough prefix shingles.
+
+    Two sets of sizes n and k link if they share ``percent (n + k) / (100 + percent)``. What one of
+    them has after its prefix can be common as well; all else must be shared in the prefixes. So
+    longer prefixes ask for more, and pairs that share a rare passage by chance fall here.
+    """
+
+    def side(name: str) -> DataFrame:
+        need = F.floor((F.lit(percent) * F.col("n_shingles") + 99) / 100)
+        return meta.select(
+            F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("matches").alias(f"m_{name}"),
+            (need - F.col("matches")).alias(f"rest_{name}"),
+        )
+
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(x, "a").join(y, "b").where(fits & (F.col("shared") >= F.least("m_a", "m_b")))
+    common = F.ceil((F.lit(percent) * (F.col("n_a") + F.col("n_b"))) / (100 + percent))
+    asked = F.greatest(F.least("m_a", "m_b").cast("long"), common - F.greatest("rest_a", "rest_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (F.col("shared") >= asked))
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, class_size, n_links, component_id), one row for each row of ``docs``.
+    """(doc_id, n_shingles, class_id, class_size, n_verified, component_id), one row for each row of ``docs``.
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of shingles.
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable.
+    ``n_verified`` counts the links that were verified for the class; pairs that are connected
+    already are not, so it is no degree.
     Null and empty texts and texts without words have no shingles and link with nothing. Repeated
     rows of a document give repeated rows. Rows with a null id are their own, unlinked class.
     Other columns are ignored. Only ``doc_id`` and ``text`` are read.
@@ -236,12 +259,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     edges = edges.union(links.verified(_sized(pairs, meta, percent)))
     final = components(edges).withColumnRenamed("id", "rep")
     ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
-        F.count("*").alias("n_links")
+        F.count("*").alias("n_verified")
     )
     classes = classes.select("key", F.col("rep"), "class_size").join(final, "rep", "left").join(ends, "rep", "left")
     of_class = classes.select(
         "key", F.col("rep").alias("class_id"), "class_size",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
         F.coalesce("component", "rep").alias("component_id"),
     )
     # One class may hold a third of all rows, so both sides are spread over salts.
@@ -254,7 +277,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 

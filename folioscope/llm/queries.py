@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    embedding_dedup, jaccard_join, language, packing, pieces, pii, quality, secrets, spotsigs, toxicity,
+    embedding_dedup, jaccard_join, language, packing, pieces, pii, quality, secret_scan, spotsigs, toxicity,
 )
 from folioscope.llm.common import documents, labels, remainder
 from folioscope.session import ship_package
@@ -40,14 +40,14 @@ def _held_out(n: int, fold: int) -> Column:
 
 @query("op1_secret_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(documents(spark, sf_dir))
+    found = secret_scan.scan(documents(spark, sf_dir))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *[count(k) for k in secrets.KINDS],
-        F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("found").alias("spans"),
+        "doc_id", *[count(k) for k in secret_scan.KINDS],
+        F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"), secret_scan.joined("found").alias("spans"),
     )
 
 

@@ -88,8 +88,14 @@ def embed_query(text: str, embedder: Embedder) -> list[float]:
 
 
 def embed_papers(
-    keyed: DataFrame, embedder: Embedder, partitions: int | None = None
+    keyed: DataFrame,
+    embedder: Embedder,
+    partitions: int | None = None,
+    chars: int | None = None,
 ) -> DataFrame:
-    """Keyed papers to embedded papers: project, embed the text, drop it, add the year-month."""
-    projected = paper_projection(keyed)
+    """Keyed papers to embedded papers: project, embed the text, drop it, add the year-month.
+
+    Texts are embedded whole unless ``chars`` asks for their first characters only.
+    """
+    projected = paper_projection(keyed, chars)
     return with_year_month(embed(projected, embedder, partitions=partitions).drop("text"))

@@ -35,7 +35,9 @@ def valid_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def restrict_to_hits(papers: DataFrame, hits: DataFrame, key: str = "arxiv_id") -> DataFrame:
-    """Papers among the search hits."""
+    """Papers among the search hits; all papers when the search found nothing."""
+    if hits.isEmpty():
+        return papers
     return papers.join(hits.select(key), key, "left_semi")
 
 

@@ -267,7 +267,7 @@ def layout(
     min_dist: float = MIN_DIST,
     seed: int = SEED,
     key: str = "arxiv_id",
-    neighbours: str = "auto",
+    neighbours: str = "forest",
     **options: int,
 ) -> DataFrame:
     """(key, x, y) for every row that has a vector. Equal vectors share a place."""

@@ -26,14 +26,13 @@ from folioscope.operators.prepare import hash_sample
 from folioscope.session import cut
 
 BLOCK_ROWS = 4096
-EXACT_LIMIT = 4096  # above it "auto" uses the forest
 MAX_PIVOTS = 1024
 QUERY_ROWS = 512
 SLACK = 1e-9
+UNDEFINED = -2.0  # stands for the similarity of a zero vector while best ones are kept
 CANDIDATES = 500_000  # scores looked at together
 
 
-
 def closest(
     queries: np.ndarray, corpus: np.ndarray, corpus_rank: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,25 +95,13 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).drop("_n")
 
 
-def _own_block(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids = _ids(table["rep"])
-        vectors = matrix(table["embedding"])
-        rows, cols, distances = closest(vectors, vectors, ranks(ids), k)
-        return _pairs_table(ids[rows], ids[cols], distances)
-
-    return run
-
-
 def exact_neighbours(
     reps: DataFrame, n: int, k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(src, dst, distance) of the ``k`` nearest distinct vectors, itself included."""
     vectors, kind = reps.select("rep", "embedding"), _kind(reps)
-    if n <= block_rows:
-        whole = vectors.withColumn("block", F.lit(0)).groupBy("block")
-        return whole.applyInArrow(_own_block(k), _pairs(kind))
-
+    if not n:
+        return vectors.sparkSession.createDataFrame([], _pairs(kind))
     wanted = min(MAX_PIVOTS, math.ceil(n / block_rows))
     chosen = hash_sample(vectors, "rep", n, wanted).select("embedding").toArrow()
     if not chosen.num_rows:
@@ -332,11 +319,9 @@ def forest_neighbours(
 
 
 def nearest_distinct(
-    reps: DataFrame, n: int, k: int, method: str = "auto", **options: int
+    reps: DataFrame, n: int, k: int, method: str = "forest", **options: int
 ) -> DataFrame:
     """(src, dst, distance) between ``n`` distinct vectors by the chosen method."""
-    if method == "auto":
-        method = "exact" if n <= EXACT_LIMIT else "forest"
     if method == "exact":
         return exact_neighbours(reps, n, k, **options)
     if method == "forest":
@@ -365,11 +350,13 @@ def spread_to_copies(
 
 
 def knn_graph(
-    df: DataFrame, k: int = 15, key: str = "arxiv_id", method: str = "auto", **options: int
+    df: DataFrame, k: int = 15, key: str = "arxiv_id", method: str = "forest", **options: int
 ) -> DataFrame:
     """(src, dst, rank, distance): the ``k`` nearest rows of each row, by Euclidean distance.
 
-    A row is its own first neighbour; equal distances are ordered by id.
+    A row is its own first neighbour; equal distances are ordered by id. The method is the
+    caller's choice and does not change with the number of rows; ``exact`` compares all pairs of
+    distinct vectors that cannot be ruled out, which grows with the square of their number.
     """
     rows, limit = valid_embeddings(df), k + 1
     reps = cut(distinct_vectors(rows, limit, key), "distinct-vectors")
@@ -435,10 +422,15 @@ def _search_chunk(mine: list, papers: DataFrame, k: int, query_key: str, key: st
                 x = matrix(batch.column(1))
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
                 own = np.asarray(batch.column(0), dtype=object)
+                # A zero vector has no direction: its similarity is null and comes last.
                 best = _keep_best(best, _candidates(q, x, own, k), k)
         rows, ids, scores = best
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[rows], pa.string()), pa.array(ids, pa.string()), pa.array(scores)],
+            [
+                pa.array(names[rows], pa.string()),
+                pa.array(ids, pa.string()),
+                pa.array(scores, mask=scores <= UNDEFINED),
+            ],
             [query_key, key, "similarity"],
         )
 
@@ -459,9 +451,11 @@ def _candidates(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> _Score
     for start in range(0, len(q), size):
         some = q[start : start + size]
         scores = some @ x.T
+        none = ~some.any(axis=1)[:, None] | ~x.any(axis=1)
+        scores[none] = UNDEFINED
         limit = np.partition(scores, -k, axis=1)[:, -k, None] if len(x) > k else -np.inf
         rows, cols = np.nonzero(scores >= limit - SLACK)
-        exact = (some[rows] * x[cols]).sum(axis=1)
+        exact = np.where(none[rows, cols], UNDEFINED, (some[rows] * x[cols]).sum(axis=1))
         parts.append(_keep_best((rows + start, ids[cols], exact), None, k))
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 

@@ -90,8 +90,8 @@ def subject_codes_column(df: DataFrame, category: str = "subject") -> DataFrame:
     return df.withColumn("subject_codes", F.array(category))
 
 
-def paper_projection(df: DataFrame) -> DataFrame:
-    """Columns the embedding step reads."""
+def paper_projection(df: DataFrame, chars: int | None = X.TEXT_CHARS) -> DataFrame:
+    """Columns the embedding step reads; ``chars=None`` keeps the text whole."""
     coded = subject_codes_column(df)
     keys = [k for k in KEYS if k in df.columns]
     return coded.select(
@@ -102,6 +102,6 @@ def paper_projection(df: DataFrame) -> DataFrame:
         "primary_subject",
         "subject_codes",
         "abstract",
-        X.embed_text().alias("text"),
+        X.embed_text(chars=chars).alias("text"),
         *keys,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -97,12 +99,22 @@ def layout_cache_valid(
     return joined.select(by, F.coalesce(valid, F.lit(False)).alias("is_valid"))
 
 
-def dataset_fingerprint(papers: DataFrame, *by: Column | str) -> DataFrame:
+def options_key(**options: object) -> str:
+    """Key of the method and options a result was made with, independent of their order."""
+    listed = json.dumps(options, sort_keys=True, default=str)
+    return hashlib.md5(listed.encode()).hexdigest()[:KEY_LENGTH]
+
+
+def dataset_fingerprint(papers: DataFrame, *by: Column | str, vectors: bool = False) -> DataFrame:
     """Row count and an order-independent digest of the ids, in all or per group.
 
-    Two datasets of equal size but different papers get different fingerprints.
+    Two datasets of equal size but different papers get different fingerprints; with ``vectors``
+    so do the same papers with other vectors.
     """
-    digest = F.sum(F.conv(F.substring(F.md5("arxiv_id"), 1, 8), 16, 10).cast("decimal(20,0)"))
+    text = F.col("arxiv_id")
+    if vectors:
+        text = F.concat_ws(":", text, F.xxhash64("embedding").cast("string"))
+    digest = F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)"))
     return papers.groupBy(*by).agg(
         F.count("*").alias("paper_count"),
         F.coalesce(digest, F.lit(0)).cast("decimal(38,0)").cast("string").alias("fingerprint"),

@@ -18,23 +18,25 @@ from folioscope.operators import arrays as A
 from folioscope.operators.filters import valid_embeddings
 from folioscope.operators.prepare import hash_sample
 from folioscope.operators.stats import topic_doc_counts
-from folioscope.schemas import TOPIC_ASSIGNMENT, TOPIC_TERM
 from folioscope.session import cut
-from folioscope.sources.corpus import path_exists
+from folioscope.sources.snapshots import publish, read_published
 
 TOP_TERMS = 10  # fixed value: terms listed per topic
-MIN_DOCUMENTS = 10
+MIN_DOCUMENTS = 1
 TOLERANCE = 1e-4
-MAX_PASSES = 200
+MAX_PASSES = 200  # over the sample
+TABLE_PASSES = 10  # over all rows
 WARM_ROWS = 20_000
+RANK_SHARE = 1e-9  # of the largest variance; a direction with less counts as none
 
 
 @dataclass
 class Components:
-    """Mean of the vectors and one unmixing row per topic."""
+    """Mean of the vectors, one unmixing row per topic, and whether the iteration came to rest."""
 
     mean: np.ndarray
     unmixing: np.ndarray
+    converged: bool = True
 
 
 def _decorrelate(w: np.ndarray) -> np.ndarray:
@@ -69,12 +71,15 @@ def fit(
     seed: int = 42,
     tolerance: float = TOLERANCE,
     max_passes: int = MAX_PASSES,
+    table_passes: int = TABLE_PASSES,
     key: str = "arxiv_id",
 ) -> Components:
     """Independent components of the vectors, each with unit variance and positive skew.
 
     The iteration starts from the solution for a bounded hash sample, so that few passes over
-    the whole table remain; it ends only when a pass over all rows changes nothing more.
+    the whole table remain. It ends when a pass over all rows changes nothing more, or after
+    ``table_passes`` of them with ``converged`` false. Asking for more topics than the vectors have
+    directions with variance is an error.
     """
     if n_components < 1:
         raise ValueError("n_components must be at least 1")
@@ -82,11 +87,13 @@ def fit(
     n, mean, cov = A.moments(rows, "embedding")
     if n < n_components + 1:
         raise ValueError(
-            f"not enough papers with embeddings ({n}) for {n_components} topics; "
-            f"need at least {n_components + 1}"
+            f"{n_components} topics take at least {n_components + 1} vectors, here are {n}"
         )
     values, axes = A.principal_axes(cov, n_components)
-    whitening = axes / np.sqrt(np.maximum(values, 1e-12))[:, None]
+    rank = int((values > RANK_SHARE * max(values[0], 0.0)).sum())
+    if rank < n_components:
+        raise ValueError(f"the vectors vary in {rank} directions only; ask for {rank} topics at most")
+    whitening = axes / np.sqrt(values)[:, None]
     white = cut(rows.select(key, A.coordinates("embedding", mean, whitening).alias("z")), "whitened")
 
     k = len(whitening)
@@ -96,14 +103,15 @@ def fit(
         old, w = w, _next(w, _update_sums(w)(sample))
         if _change(old, w) < tolerance:
             break
-    if n > len(sample):
-        for _ in range(max_passes):
-            old, w = w, _next(w, A.sum_over(white, "z", _update_sums(w)))
-            if _change(old, w) < tolerance:
-                break
+    converged = False
+    for _ in range(table_passes):
+        old, w = w, _next(w, A.sum_over(white, "z", _update_sums(w)))
+        converged = _change(old, w) < tolerance
+        if converged:
+            break
     skew = A.sum_over(white, "z", lambda z: ((z @ w.T) ** 3).sum(axis=0))
     w = w * np.where(skew < 0, -1.0, 1.0)[:, None]
-    return Components(mean, w @ whitening)
+    return Components(mean, w @ whitening, converged)
 
 
 def topic_weights(df: DataFrame, components: Components) -> DataFrame:
@@ -128,7 +136,10 @@ def top_terms(scored: DataFrame, n: int = TOP_TERMS) -> DataFrame:
 
 
 def term_weights(
-    weighed: DataFrame, n_topics: int, min_documents: int = MIN_DOCUMENTS
+    weighed: DataFrame,
+    n_topics: int,
+    min_documents: int = MIN_DOCUMENTS,
+    chars: int | None = None,
 ) -> DataFrame:
     """(topic_id, term, weight) of every term of the vocabulary.
 
@@ -137,7 +148,7 @@ def term_weights(
     within each map task first, which keeps words that are everywhere cheap.
     """
     worded = weighed.select(
-        F.explode(X.terms(X.embed_text())).alias("term"),
+        F.explode(X.terms(X.embed_text(chars=chars))).alias("term"),
         *[F.col("topic_weights")[i].alias(f"w{i}") for i in range(n_topics)],
     )
     means = worded.groupBy("term").agg(
@@ -163,11 +174,11 @@ def topic_terms(
 ) -> DataFrame:
     """(topic_id, rank, term, weight, doc_count): the top terms of each topic.
 
-    Documents are counted from ``assignments`` where these are stored already.
+    A topic without a term keeps one row, with its count. Documents are counted from ``assignments`` where these are stored already.
     """
     best = top_terms(term_weights(weighed, n_topics, min_documents), n)
     counts = topic_doc_counts(weighed if assignments is None else assignments, n_topics)
-    return best.join(counts, "topic_id").select(
+    return counts.join(best, "topic_id", "left").select(
         "topic_id", "rank", "term", F.round("weight", 4).alias("weight"), "doc_count"
     )
 
@@ -188,15 +199,13 @@ def extract_topics(
 
 
 def save_topics(topics: DataFrame, assignments: DataFrame, root: str, key: str) -> None:
-    """Store a topic result under its request key."""
-    topics.write.mode("overwrite").parquet(f"{root}/topics/key={key}")
-    assignments.write.mode("overwrite").parquet(f"{root}/assignments/key={key}")
+    """Store a topic result under its request key, as a new version."""
+    publish(topics, f"{root}/topics/key={key}")
+    publish(assignments, f"{root}/assignments/key={key}")
 
 
 def load_topics(spark: SparkSession, root: str, key: str) -> tuple[DataFrame, DataFrame] | None:
     """A stored topic result, or None when nothing is stored under the key."""
-    paths = (f"{root}/topics/key={key}", f"{root}/assignments/key={key}")
-    if not all(path_exists(spark, f"{p}/_SUCCESS") for p in paths):
-        return None
-    schemas = (TOPIC_TERM, TOPIC_ASSIGNMENT)
-    return tuple(spark.read.schema(s).parquet(p) for s, p in zip(schemas, paths, strict=True))
+    topics = read_published(spark, f"{root}/topics/key={key}")
+    assignments = read_published(spark, f"{root}/assignments/key={key}")
+    return None if topics is None or assignments is None else (topics, assignments)

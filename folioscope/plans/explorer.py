@@ -129,6 +129,14 @@ class Explorer:
             raise LookupError("no dataset is published")
         return published
 
+    def _dataset_or_empty(self) -> DataFrame:
+        """The current dataset, or no rows as long as none is published."""
+        published = snapshots.read_published(self.spark, self._path("published"))
+        if published is not None:
+            return published
+        none = self.spark.createDataFrame([], EMBEDDED_PAPER)
+        return none.withColumns({"x": F.lit(None).cast("float"), "y": F.lit(None).cast("float")})
+
     def search(
         self,
         text: str,
@@ -136,12 +144,12 @@ class Explorer:
         year_months: Sequence[str] | None = None,
         categories: Sequence[str] | None = None,
     ) -> DataFrame:
-        return search.search_text(self.dataset(), text, self.embedder, k, year_months, categories)
+        return search.search_text(self._dataset_or_empty(), text, self.embedder, k, year_months, categories)
 
     def papers(
         self, year_months: Sequence[str] | None = None, categories: Sequence[str] | None = None
     ) -> DataFrame:
-        return listing.paper_listing(filter_papers(self.dataset(), year_months, categories))
+        return listing.paper_listing(filter_papers(self._dataset_or_empty(), year_months, categories))
 
     def stats(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Totals, top subjects, papers per year-month."""
@@ -163,20 +171,21 @@ class Explorer:
         n_valid = valid_embeddings(papers).count()
         if n_valid < n_components + 1:
             raise ValueError(f"{n_components} topics need {n_components + 1} papers with embeddings")
-        request = reuse.dataset_fingerprint(papers).withColumn(
+        request = reuse.dataset_fingerprint(papers, vectors=True).withColumn(
             "key",
             reuse.topics_key(F.lit(n_components), _list_or_null(year_months), _list_or_null(categories)),
         )
         request = cut(request, "topic-request")
-        key, root = request.first()["key"], self._path("topics")
+        made_with = reuse.options_key(min_documents=min_documents, top_n=topics.TOP_TERMS)
+        key, root = f'{request.first()["key"]}-{made_with}', self._path("topics")
         known = f"{root}/requests/key={key}"
-        if corpus.path_exists(self.spark, f"{known}/_SUCCESS"):
-            stored = self.spark.read.schema(request.schema).parquet(known)
+        stored = snapshots.read_published(self.spark, known)
+        if stored is not None:
             if reuse.topics_cache_valid(request, stored).first()["is_valid"]:
                 return topics.load_topics(self.spark, root, key)
         found = topics.extract_topics(papers, n_components, min_documents=min_documents)
         topics.save_topics(*found, root, key)
-        request.write.mode("overwrite").parquet(known)
+        snapshots.publish(request, known)
         return topics.load_topics(self.spark, root, key)
 
 

@@ -11,11 +11,10 @@ from folioscope.operators import catalog
 from folioscope.operators.embedding import Embedder, embed_papers
 from folioscope.operators.layout import layout
 from folioscope.operators.prepare import dedupe
-from folioscope.operators.reuse import layout_cache_valid, selection_hash
+from folioscope.operators.reuse import layout_cache_valid, options_key, selection_hash
 from folioscope.schemas import EMBEDDED_PAPER, KEYED_PAPER, KEYS
 from folioscope.session import cut
 from folioscope.sources.corpus import (
-    path_exists,
     read_corpus,
     scan_partitions,
     scan_selection,
@@ -23,7 +22,7 @@ from folioscope.sources.corpus import (
     write_partitioned,
 )
 from folioscope.sources.manifest import catalog_manifest, partition_manifest
-from folioscope.sources.snapshots import publish
+from folioscope.sources.snapshots import latest, publish, read_published
 
 DEFAULT_CATEGORIES = ("cs.AI", "cs.LG", "cs.CL")  # fixed value
 
@@ -60,6 +59,7 @@ def embed_missing(
     now: str,
     force: bool = False,
     partitions: int | None = None,
+    chars: int | None = None,
 ) -> DataFrame:
     """Embed the chosen landed partitions that need it, all in one job; returns the work plan.
 
@@ -74,7 +74,7 @@ def embed_missing(
     todo = catalog.todo_partitions(plan).where("downloaded")
     if not todo.isEmpty():
         papers = scan_partitions(read_corpus(spark, landed_path), todo)
-        write_embeddings(embed_papers(papers, embedder, partitions), embedded_path)
+        write_embeddings(embed_papers(papers, embedder, partitions, chars), embedded_path)
     return plan
 
 
@@ -112,29 +112,30 @@ def combine_and_layout(
 ) -> DataFrame:
     """The chosen papers with coordinates, from the stored layout when it is still valid.
 
-    A layout is stored under the key of its selection and is valid while no partition of the
-    selection is missing or newer.
+    A layout is stored under the key of its selection, of the method and of all its options, and
+    is valid while no partition of the selection is missing or newer. A new layout is a new version;
+    readers of an earlier one keep its files.
     """
     selection = selection_of(spark, categories, year_months)
     key = selection_hash(selection).first()["key"]
-    target = f"{layouts_path}/key={key}"
-    if use_cache and _stored_layout_valid(spark, selection, embedded_path, target):
-        return with_year_month(spark.read.parquet(target))
+    target = f"{layouts_path}/key={key}/options={options_key(method=method, **options)}"
+    if use_cache and _stored_layout_valid(spark, selection, embedded_path, latest(spark, target)):
+        return with_year_month(read_published(spark, target))
     papers = assemble(read_embeddings(spark, embedded_path), categories, year_months)
     if papers.isEmpty():
-        raise ValueError("no embedded categories found")
+        raise ValueError("the selection holds no embedded partition")
     papers = cut(papers, "assembled")
     result = add_layout(papers, method, **options)
     if not use_cache:
         return result
-    result.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    publish(result, target)
+    return read_published(spark, target)
 
 
 def _stored_layout_valid(
-    spark: SparkSession, selection: DataFrame, embedded_path: str, target: str
+    spark: SparkSession, selection: DataFrame, embedded_path: str, target: str | None
 ) -> bool:
-    if not path_exists(spark, f"{target}/_SUCCESS"):
+    if target is None:
         return False
     embedded = partition_manifest(spark, embedded_path, EMBEDDED_PAPER, with_counts=False)
     manifest = embedded.select(

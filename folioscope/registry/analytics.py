@@ -46,7 +46,7 @@ def _(spark, sf):
 
 @query("search_by_text")
 def _(spark, sf):
-    texts = B.papers(spark, sf).select("*", X.embed_text().alias("text"))
+    texts = B.papers(spark, sf).select("*", X.embed_text(chars=None).alias("text"))
     model = HashedWords()
     corpus = embed(texts, model).drop("text").withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     return search.search_text(corpus, "model training data", model)
@@ -87,13 +87,13 @@ _KNN = """SELECT src, dst, rank, round(distance, 4) AS distance FROM
 
 @query("knn_graph", _KNN)
 def _(spark, sf):
-    edges = neighbours.knn_graph(B.current(spark, sf), method="exact")
+    edges = neighbours.knn_graph(B.current(spark, sf), method="exact", block_rows=128)
     return edges.withColumn("distance", F.round("distance", 4))
 
 
 @query("knn_graph_forest")
 def _(spark, sf):
-    edges = neighbours.knn_graph(B.current(spark, sf), method="forest")
+    edges = neighbours.knn_graph(B.current(spark, sf), method="forest", task_rows=256, leaf_rows=128)
     return edges.withColumn("distance", F.round("distance", 4))
 
 
@@ -231,11 +231,11 @@ def _(spark, sf):
 
 _WORDS = f"""SELECT arxiv_id, topic_weights,
     unnest(list_distinct(regexp_extract_all(
-      lower(substring(title || ' ' || abstract, 1, {X.TEXT_CHARS})), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS term
+      lower(title || ' ' || abstract), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS term
     FROM weighed"""
 _TERMS = f"""SELECT topic_id, term, weight FROM
     (SELECT term, t.i AS topic_id, round(avg(topic_weights[t.i + 1]), 6) AS weight, count(*) AS n
-     FROM ({_WORDS}) w CROSS JOIN range(0, 5) t(i) GROUP BY term, t.i) a WHERE n >= 10"""
+     FROM ({_WORDS}) w CROSS JOIN range(0, 5) t(i) GROUP BY term, t.i) a"""
 
 
 @query("term_weights", f"SELECT cast(topic_id AS int) AS topic_id, term, weight FROM ({_TERMS}) t")
@@ -327,7 +327,7 @@ _SLOT = "cast('0x' || substring(md5(w), 1, 8) AS bigint)"
 
 _HASHED = f""", asked AS (SELECT '{search.QUERY_PREFIX}model training data' AS text),
     texts AS (
-      SELECT arxiv_id, substring(title || ' ' || abstract, 1, {X.TEXT_CHARS}) AS text
+      SELECT arxiv_id, title || ' ' || abstract AS text
       FROM papers WHERE title || abstract IS NOT NULL UNION ALL SELECT 'asked', text FROM asked),
     words AS (
       SELECT arxiv_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w
@@ -351,7 +351,7 @@ _HASHED = f""", asked AS (SELECT '{search.QUERY_PREFIX}model training data' AS t
     f"{_HASHED} SELECT arxiv_id, dim, round(value, 4) AS value FROM hashed WHERE arxiv_id <> 'asked'",
 )
 def _(spark, sf):
-    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text().alias("text"))
+    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text(chars=None).alias("text"))
     vectors = embed(texts, HashedWords(64)).where("embedding IS NOT NULL")
     parts = vectors.select("arxiv_id", F.posexplode("embedding").alias("dim", "value"))
     value = F.round(F.col("value").cast("double"), 4) + F.lit(0.0)
@@ -367,7 +367,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Score of every paper for a search text."""
-    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text().alias("text"))
+    texts = B.papers(spark, sf).select("arxiv_id", X.embed_text(chars=None).alias("text"))
     model = HashedWords(64)
     vectors = valid_embeddings(embed(texts, model))
     asked = embed_query(search.QUERY_PREFIX + "model training data", model)

@@ -136,12 +136,12 @@ def materialise_month(
 ) -> DataFrame:
     """The deduplicated month as a stored table.
 
-    It is built when absent, when forced and for the current month; otherwise it is read.
+    It is built when absent or half-written, when forced and for the current month; else it is read.
     """
     spark = corpus.sparkSession
     target = f"{path}/year={year}/month={month}"
     current = now == f"{year}-{month}"
-    if force or current or not path_exists(spark, target):
+    if force or current or not path_exists(spark, f"{target}/_SUCCESS"):
         month_rows = load_month_all_subjects(corpus, year, month).drop("year", "month")
         month_rows.write.mode("overwrite").parquet(target)
     schema = T.StructType([f for f in corpus.schema.fields if f.name not in ("year", "month")])

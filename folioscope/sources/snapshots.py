@@ -40,7 +40,13 @@ def publish(
     return target
 
 
+def latest(spark: SparkSession, root: str) -> str | None:
+    """Path of the latest version, or None when nothing is published."""
+    versions = _versions(spark, root)
+    return f"{root}/v{versions[-1]:08d}" if versions else None
+
+
 def read_published(spark: SparkSession, root: str) -> DataFrame | None:
     """The latest version, or None when nothing is published."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v{versions[-1]:08d}") if versions else None
+    path = latest(spark, root)
+    return spark.read.parquet(path) if path else None

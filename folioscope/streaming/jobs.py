@@ -114,13 +114,14 @@ def stream_stats(
     """Keep a published table of paper counts per subject or per year-month up to date.
 
     The complete result is as small as the list of subjects or months. Each micro-batch writes
-    its own version, so a repeated one replaces what it wrote before.
+    the next free version, also after a start with a new checkpoint; a repeated one writes the same
+    counts again.
     """
     papers = with_year_month(staged)
     counts = papers.groupBy(by).count().withColumnRenamed("count", "n_papers")
 
     def write(batch: DataFrame, number: int) -> None:
-        publish(batch, path, number + 1)
+        publish(batch, path)
 
     return (
         counts.writeStream.outputMode("complete")

@@ -163,16 +163,19 @@ def test_layout_is_reused_until_a_partition_is_newer(spark, landed):
     months = [("2023", "03")]
     incremental.embed_missing(spark, landed, embedded, model, categories, months, "2024-06")
 
-    def lay(seed):
-        rows = incremental.combine_and_layout(spark, embedded, layouts, categories, months, method="pca", seed=seed)
+    def lay(seed, method="pca"):
+        rows = incremental.combine_and_layout(spark, embedded, layouts, categories, months, method=method, seed=seed)
         return rows.count(), rows.inputFiles()
 
     first = lay(1)
-    assert lay(2) == first
+    assert lay(1) == first
+    other = lay(2)
+    assert other[0] == first[0] and not set(other[1]) & set(first[1])
+    assert not set(lay(1, "umap")[1]) & set(first[1])
     incremental.embed_missing(spark, landed, embedded, model, categories, months, "2024-06", force=True)
-    third = lay(3)
+    third = lay(1)
     assert third[0] == first[0] and third[1] != first[1]
-    with pytest.raises(ValueError, match="no embedded"):
+    with pytest.raises(ValueError, match="no embedded partition"):
         incremental.combine_and_layout(spark, embedded, layouts, ["no-such"], months)
 
 

@@ -23,8 +23,10 @@ def chosen(spark, small):
 
 
 def test_nothing_published_yet(explorer):
+    assert explorer.search("anything").count() == 0
+    assert explorer.papers().count() == 0
     with pytest.raises(LookupError):
-        explorer.search("text")
+        explorer.stats()
     with pytest.raises(ValueError, match="selected"):
         explorer.embed([], MONTHS)
 

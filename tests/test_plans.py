@@ -40,11 +40,9 @@ def test_counts_read_no_column(landed):
 
 
 def test_search_keeps_k_rows_per_task(spark, small):
-    df = search.top_k(B.current(spark, small).select("arxiv_id", "embedding"), [0.1] * 64, 50)
-    text = plan(df)
-    assert "TakeOrderedAndProject" in text and "BatchEvalPython" not in text
-    assert text.count("WindowGroupLimit") == 2
-    assert "ArrowEvalPython [run(embedding" in text
+    text = plan(search.top_k(B.current(spark, small), B.query_vector(spark, small), 10))
+    assert "TakeOrderedAndProject" in text and "Window" not in text
+    assert "Sort [" not in text and "Sort(" not in text
 
 
 def test_top_subjects_keep_n_rows_per_task(spark, small):

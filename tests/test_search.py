@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from folioscope.operators.neighbours import search_batch
+from folioscope.operators.filters import restrict_to_hits
 from folioscope.operators import filters, search
 from folioscope.operators.embedding import HashedWords
 from folioscope.registry import base as B
@@ -68,3 +70,19 @@ def test_filters(spark, small):
     by_name = filters.filter_categories(keyed, ["Artificial Intelligence (cs.AI)"]).count()
     assert by_code == by_name > 0
     assert filters.valid_embeddings(keyed).count() == 0  # no such column
+
+
+def test_batch_search_gives_zero_vectors_no_similarity(spark):
+    papers = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [-1.0, 0.0])], "arxiv_id string, embedding array<float>"
+    )
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    rows = search_batch(asked, papers, 3).orderBy("rank").collect()
+    assert [(r["arxiv_id"], r["similarity"]) for r in rows] == [("a", 1.0), ("c", -1.0), ("b", None)]
+    assert [r["arxiv_id"] for r in search.top_k(papers, [1.0, 0.0], 3).collect()] == ["a", "c", "b"]
+
+
+def test_no_hits_mean_no_filter(spark):
+    papers = spark.createDataFrame([("a",), ("b",)], "arxiv_id string")
+    assert restrict_to_hits(papers, papers.where("false")).count() == 2
+    assert restrict_to_hits(papers, papers.where("arxiv_id = 'a'")).count() == 1

@@ -62,9 +62,9 @@ def test_passes_over_all_rows_agree_with_the_sample_solution(papers, weighed, mo
 
 
 def test_too_few_rows(spark, papers):
-    with pytest.raises(ValueError, match="not enough papers"):
+    with pytest.raises(ValueError, match="take at least"):
         T.fit(papers.where("arxiv_id < 'p0003'"), 3)
-    with pytest.raises(ValueError, match="not enough papers"):
+    with pytest.raises(ValueError, match="take at least"):
         T.fit(papers.where("arxiv_id = 'none'"), 1)
     with pytest.raises(ValueError, match="at least 1"):
         T.fit(papers, 0)
@@ -92,3 +92,18 @@ def test_save_and_load(spark, weighed):
     terms, assignments = T.load_topics(spark, root, "k")
     assert assignments.count() == 2000
     assert terms.where(F.col("rank") == 1).count() == 3
+
+
+def test_rank_of_the_vectors_is_named(spark):
+    rows = [(f"p{i}", [float(i % 7), 2.0 * (i % 7), float(i % 3)]) for i in range(60)]
+    flat = spark.createDataFrame(rows, "arxiv_id string, embedding array<float>")
+    with pytest.raises(ValueError, match="2 directions only"):
+        T.fit(flat, 3)
+
+
+def test_topics_without_terms_keep_their_count(spark, papers):
+    weighed = T.topic_weights(papers, T.fit(papers, 3))
+    texts = weighed.withColumns({"title": F.lit("a"), "abstract": F.lit("b")})
+    rows = T.topic_terms(texts, 3, min_documents=10**6).collect()
+    assert sorted(r["topic_id"] for r in rows) == [0, 1, 2] and all(r["term"] is None for r in rows)
+    assert sum(r["doc_count"] for r in rows) == weighed.count()

@@ -73,10 +73,12 @@ def likeness(a: str, b: str, least: float = LEAST) -> Column:
 def _before(blocks: DataFrame, levels: int) -> DataFrame:
     """(block, prev): the largest id in the blocks before each one; no row where there is none.
 
-    Blocks are grouped like the ids were, level by level, so no window sees more than 2 ** BLOCK_BITS rows.
+    Blocks are grouped like the ids were, level by level, so no window sees more than 2 ** (BLOCK_BITS + 1) rows.
     """
     grouped = blocks.withColumn("up", F.shiftright("block", BLOCK_BITS))
-    inside = grouped.withColumn("own", F.lag("hi").over(Window.partitionBy("up").orderBy("block")))
+    # On the last level all rows share a group, or two if there are ids below and above zero.
+    group = F.lit(0) if levels == 0 else F.col("up")
+    inside = grouped.withColumn("own", F.lag("hi").over(Window.partitionBy(group).orderBy("block")))
     if levels == 0:
         return inside.select("block", F.col("own").alias("prev")).where("prev is not null")
     above = grouped.groupBy("up").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -101,7 +103,7 @@ def with_next(docs: DataFrame, values: dict[str, Column]) -> DataFrame:
     levels = 0
     if ends["lo"] is not None:
         low, high = ends["lo"] >> 2 * BLOCK_BITS, ends["hi"] >> 2 * BLOCK_BITS
-        while low != high:
+        while low != high and (low < -1 or high > 0):  # shifted on, they end as -1 and 0
             low, high, levels = low >> BLOCK_BITS, high >> BLOCK_BITS, levels + 1
     first = blocks.where(F.col("lo") == F.lit(ends["lo"])).select("block", F.lit(ends["hi"]).cast("long").alias("prev"))
     guests = cut(_before(blocks, levels).unionByName(first), "guests").withColumnRenamed("prev", "doc_id")

@@ -116,12 +116,12 @@ ORACLES["op3_ngram_jaccard_join"] = """
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 shingled AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
                       WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                      ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
   FROM worded),
 each AS (SELECT doc_id, unnest(s) AS t FROM shingled),
 shared AS (
@@ -142,8 +142,8 @@ ORACLES["op10_embedding_dedup"] = """
 WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id
   WHERE list_cosine_similarity(x.v, y.v) >= 0.9),

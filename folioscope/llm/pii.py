@@ -80,7 +80,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def _ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    return [m.span() for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or 0) < 256 for p in m[0].split("."))]
 
 
 def _digits(found: str) -> str:

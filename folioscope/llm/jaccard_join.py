@@ -8,7 +8,8 @@ for before a pair is verified on the whole sets.
 
 Equal sets form one class before any pair is made. Inside a group of documents that share a prefix
 shingle pairs are not enumerated: each document meets one leader of the group, verified links are
-joined to components, and only documents of different components meet in the last round.
+joined to components, and only documents of different components meet in the last round, where the
+places of the common shingle in both sets must allow a link.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import counting_table, hash_words, mixed, text_slices, words_of
@@ -184,11 +185,48 @@ def _sized(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
         )
 
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    common = F.ceil((F.lit(percent) * (F.col("n_a") + F.col("n_b"))) / (100 + percent))
+    common = _common(F.col("n_a"), F.col("n_b"), percent)
     asked = F.greatest(F.least("m_a", "m_b").cast("long"), common - F.greatest("rest_a", "rest_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (F.col("shared") >= asked))
 
 
+def _common(n: Column, k: Column, percent: int) -> Column:
+    """Shingles that linked sets of these sizes share at least."""
+    return F.ceil((F.lit(percent) * (n + k)) / (100 + percent))
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from (token, rep, n, place, component).
+
+    All prefixes are in one order of shingles. From the first common shingle on, either set must
+    still hold all that the two have to share, so its place in a set of size n is at most n less
+    that number. The smallest set that holds the shingle tells which rows can fit no partner.
+    """
+    n, place, percents = F.col("n"), F.col("place"), F.lit(percent)
+    open_ = placed.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")
+    )
+    partner = F.greatest(F.col("least_n"), F.ceil(percents * n / 100))
+    fitting = placed.join(open_.where("lo < hi").drop("lo", "hi"), "token").where(place <= n - _common(n, partner, percent))
+    fitting = cut(fitting.drop("least_n"), "open")
+    other = fitting.select(
+        "token", F.col("rep").alias("r"), F.col("component").alias("c"), F.col("n").alias("k"), F.col("place").alias("p")
+    )
+    k, asked = F.col("k"), _common(F.col("n"), F.col("k"), percent)
+    sizes = 100 * F.least(n, k) >= percents * F.greatest(n, k)
+    places = (place <= n - asked) & (F.col("p") <= k - asked)
+    met = fitting.join(other, "token").where((F.col("component") < F.col("c")) & sizes & places)
+    return met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
+
+
+def _shared(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs with the number of shingles that their prefixes have in common; the most over texts of an id."""
+    x = firsts.select(F.col("rep").alias("a"), F.col("prefix").alias("prefix_a"))
+    y = firsts.select(F.col("rep").alias("b"), F.col("prefix").alias("prefix_b"))
+    both = F.size(F.array_intersect("prefix_a", "prefix_b")).cast("long")
+    return pairs.join(x, "a").join(y, "b").groupBy("a", "b").agg(F.max(both).alias("shared"))
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, class_size, n_verified, component_id), one row for each row of ``docs``.
 
@@ -224,10 +262,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "classes",
     )
     meta = classes.select("rep", "n_shingles", "matches")
-    firsts = full.select("doc_id", "key", "prefix").join(
+    firsts = full.select("doc_id", "key", "n_shingles", "prefix").join(
         classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi"
-    )
-    tokens = firsts.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+    ).withColumnRenamed("doc_id", "rep")
+    tokens = firsts.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
     common = tokens.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last"))
     # Shingles of one class only are dropped here; what is left concerns near copies.
     tokens = cut(tokens.join(common.where("first < last"), "token"), "tokens")
@@ -247,16 +285,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         edges = new if edges is None else edges.union(new)
         known = components(edges)
 
-    placed = tokens.select("token", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = tokens.join(known.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    placed = cut(placed.join(open_.where("lo < hi").select("token"), "token"), "open")
-    other = placed.select("token", F.col("rep").alias("r"), F.col("component").alias("c"))
-    pairs = placed.join(other, "token").where("component < c").select(
-        F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")
-    )
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    edges = edges.union(links.verified(_sized(pairs, meta, percent)))
+    pairs = cut(_across(placed, percent), "across")
+    edges = edges.union(links.verified(_sized(_shared(pairs, firsts), meta, percent)))
     final = components(edges).withColumnRenamed("id", "rep")
     ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
         F.count("*").alias("n_verified")

@@ -108,6 +108,29 @@ def test_long_chains_and_a_large_group_against_brute_force(spark):
     assert {i: r["component_id"] for i, r in out.items()} == {i: top(i) for i in sets}
 
 
+def test_a_group_below_the_limit_makes_few_candidates(spark):
+    """Copies with so many edits of their own that no two link: the last round must not pair them all."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rnd.sample(range(120), 6):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for _, t in rows for w in [t.split()]]
+    assert not any(100 * len(a & b) >= 85 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    placed = []
+    order = {s: (n, s) for n, s in ((sum(s in other for other in sets), s) for s in set().union(*sets))}
+    for i, own in enumerate(sets):
+        for place, s in enumerate(sorted(own, key=order.get)[: len(own) - -(-85 * len(own) // 100) + 6]):
+            placed.append((hash(s) & (2**62 - 1), i, len(own), place, i))
+    frame = spark.createDataFrame(placed, "token long, rep long, n long, place int, component long")
+    assert jaccard_join._across(frame, 85).count() < 150
+    out = by_id(jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85))
+    assert all(r["component_id"] == i for i, r in out.items())
+
+
 def test_toxicity(docs, none):
     sample = [(f"plain words here {i} and there", 0) for i in range(60)]
     sample += [(f"this fool{'s' * (i % 3)} {i} said it. you moron {i}", 1) for i in range(30)]
@@ -202,6 +225,7 @@ def test_personal_data(docs, none):
     for _ in range(3000):
         t = "".join(rnd.choice("ab1@.@.-+ é") for _ in range(rnd.randint(0, 25)))
         assert pii.emails(t) == [m.span() for m in email.finditer(t)]
+    assert [s[:3] for s in pii.spans("0" * 6000 + ".1.2.3 and 1.2.3.256")] == [("ip", 0, 6006)]
     assert [s[0] for s in pii.spans("iban GB82 WEST 1234 5698 7654 32 is mine")] == ["iban"]
     assert pii.spans("GB83 WEST 1234 5698 7654 32") == []
 

@@ -227,6 +227,11 @@ def _shared(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").groupBy("a", "b").agg(F.max(both).alias("shared"))
 
 
+def _stars(known: DataFrame) -> DataFrame:
+    """Components (id, component) as edges (a, b)."""
+    return known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, class_size, n_verified, component_id), one row for each row of ``docs``.
 
@@ -282,14 +287,16 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             pairs = pairs.where("coalesce(c_a, a) <> coalesce(c_b, b)")
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
         new = links.verified(_sized(pairs, meta, percent))
+        # What is connected already goes on as stars, so that a round starts from few edges.
+        known = components(new if edges is None else _stars(known).union(new))
         edges = new if edges is None else edges.union(new)
-        known = components(edges)
 
     placed = tokens.join(known.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     pairs = cut(_across(placed, percent), "across")
-    edges = edges.union(links.verified(_sized(_shared(pairs, firsts), meta, percent)))
-    final = components(edges).withColumnRenamed("id", "rep")
+    new = links.verified(_sized(_shared(pairs, firsts), meta, percent))
+    final = components(_stars(known).union(new)).withColumnRenamed("id", "rep")
+    edges = edges.union(new)
     ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
         F.count("*").alias("n_verified")
     )

@@ -22,6 +22,7 @@ BITS = 17  # 2 ** BITS vectors
 WIDTH = 6
 GRAMS = (3, 4, 5)
 BACK = 4
+SLICE_WORDS = 16_384  # distinct words whose features are found together
 SAMPLE_ROWS = 4000  # labelled rows that training sees at most
 SAMPLE_CHARS = 2400  # characters of each that training reads at most; scoring reads all
 EPOCHS = 6
@@ -34,7 +35,17 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature cells of distinct words, one run per word: offsets and cells."""
+    """Feature cells of distinct words, one run per word: offsets and cells.
+
+    Words are taken SLICE_WORDS at a time, as the arrays in between are far larger than the result.
+    """
+    parts = [_features(words.slice(k, SLICE_WORDS)) for k in range(0, max(1, len(words)), SLICE_WORDS)]
+    sizes, cells = zip(*parts, strict=True)
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(cells)
+
+
+def _features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of features of each word, and the cells of all."""
     texts = words.to_pylist()
     joined = "".join(f"<{w}>" for w in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -53,7 +64,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[at])
     cell, own = np.concatenate(cells), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))]), cell[order]
+    return np.bincount(own, minlength=len(texts)), cell[order].astype(np.int32)
 
 
 def _repeats(offsets: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
@@ -86,21 +97,24 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> np.ndarray:
     starts, cells = word_features(distinct)
     sizes = np.diff(starts)
     repeats = _repeats(offsets, codes)
-    bags = []
-    for i in range(len(rows)):
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of a text and their shares; made anew for each step, as all bags together are large."""
         a, b = offsets[i], offsets[i + 1]
         own, times = np.unique(codes[a:b], return_counts=True)
-        parts = [cells[starts[c] : starts[c + 1]] for c in own]
-        ids = np.concatenate([*parts, _MARKS])
+        many = sizes[own]
+        at = np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)
+        ids = np.concatenate([cells[at], _MARKS])
         marks = [r[a:b].sum() for r in repeats]
-        weight = np.concatenate([np.repeat(times, sizes[own]), marks]).astype(float)
-        bags.append((ids, weight / max(1.0, weight.sum())))
+        weight = np.concatenate([np.repeat(times, many), marks]).astype(float)
+        return ids, weight / max(1.0, weight.sum())
+
     steps, done = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - done / steps)
             done += 1
-            ids, weight = bags[i]
+            ids, weight = bag(i)
             mean = weight @ vectors[ids]
             z = out @ mean + bias
             p = np.exp(z - z.max())

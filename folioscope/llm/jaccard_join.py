@@ -10,6 +10,10 @@ Equal sets form one class before any pair is made. Inside a group of documents t
 shingle pairs are not enumerated: each document meets one leader of the group, verified links are
 joined to components, and only documents of different components meet in the last round, where the
 places of the common shingle in both sets must allow a link.
+
+Links are then counted inside components: the whole sets of their classes are packed into blocks,
+and each pair of blocks of a component is one small matrix of common shingles, so no row is made
+for a pair of documents.
 """
 
 from __future__ import annotations
@@ -101,6 +105,8 @@ def _prefixes(words: int, percent: int, table):
 
 
 SET_BYTES = 6  # of a shingle's hash are compared in a pair of sets
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000  # of a block on average, where links are counted
+SPARSE = 100  # a shingle held by fewer than one in so many pairs of a block pair is counted pair by pair
 
 
 def _verified(percent: int):
@@ -123,15 +129,108 @@ def _wide(packed: np.ndarray) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
+def _blocks(batches: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets of a table and all their shingles."""
+    sets = batches["set"].to_pylist()
+    sizes = np.array([len(x) // SET_BYTES for x in sets], np.int64)
+    return sizes, _wide(np.frombuffer(b"".join(sets), np.uint8).reshape(-1, SET_BYTES))
+
+
+def _packed(key: tuple, table: pa.Table) -> pa.Table:
+    """Block: its classes as one row."""
+    sizes, values = _blocks(table)
+    packed = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
+    return pa.table({
+        "group": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()),
+        "parts": pa.array([table["parts"][0].as_py()], pa.int64()),
+        "keys": pa.array([b"".join(table["key"].to_pylist())], pa.binary()),
+        "copies": pa.array([table["class_size"].to_numpy().astype("<i8").tobytes()], pa.binary()),
+        "sizes": pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
+        "shingles": pa.array([packed.tobytes()], pa.binary()),
+    })
+
+
+def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Matrix of the number of shingles that each set on the left shares with each on the right.
+
+    Sets come as their sizes and their values in a row. Shingles of many sets are counted by
+    products of 0/1 matrices, the others pair by pair.
+    """
+    n, k = len(left[0]), len(right[0])
+    held, codes = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    sides = []
+    for (sizes, _), own in zip((left, right), (codes[: len(left[1])], codes[len(left[1]) :]), strict=True):
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(own, kind="stable")
+        sides.append((rows[order], own[order], np.bincount(own, minlength=len(held))))
+    met = sides[0][2] * sides[1][2]
+    total = np.zeros((n, k), np.float32)
+    dense = np.flatnonzero(met * SPARSE >= n * k)
+    for start in range(0, len(dense), 1024):
+        part = dense[start : start + 1024]
+        place = np.full(len(held), -1)
+        place[part] = np.arange(len(part))
+        both = []
+        for (rows, own, _), size in zip(sides, (n, k), strict=True):
+            hit = place[own] >= 0
+            matrix = np.zeros((size, len(part)), np.float32)
+            matrix[rows[hit], place[own[hit]]] = 1
+            both.append(matrix)
+        total += both[0] @ both[1].T
+    sparse = np.flatnonzero((met > 0) & (met * SPARSE < n * k))
+    starts = [np.cumsum(side[2]) - side[2] for side in sides]
+    ends = np.cumsum(met[sparse])
+    flat = total.reshape(-1)
+    first = 0
+    while first < len(sparse):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + 4_000_000, "right")))
+        cells, each = sparse[first:last], met[sparse[first:last]]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        width = np.repeat(sides[1][2][cells], each)
+        i = sides[0][0][np.repeat(starts[0][cells], each) + at // width]
+        j = sides[1][0][np.repeat(starts[1][cells], each) + at % width]
+        flat += np.bincount(i * k + j, minlength=n * k)
+        first = last
+    return total.astype(np.int64)
+
+
+def _counted(percent: int):
+    """Block pair: (key, linked), the number of documents that each class links with here."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sides = []
+        for part in sorted(set(table["part"].to_pylist())):
+            at = table["part"].to_pylist().index(part)
+            keys = table["keys"][at].as_py()
+            copies, sizes = (np.frombuffer(table[c][at].as_py(), "<i8") for c in ("copies", "sizes"))
+            values = _wide(np.frombuffer(table["shingles"][at].as_py(), np.uint8).reshape(-1, SET_BYTES))
+            sides.append(([keys[i : i + 16] for i in range(0, len(keys), 16)], copies, sizes, values))
+        x, y = sides[0], sides[-1]
+        both = common_counts(x[2:], y[2:])
+        links = 100 * both >= percent * (x[2][:, None] + y[2][None, :] - both)
+        if len(sides) == 1:
+            np.fill_diagonal(links, False)
+        keys, linked = list(x[0]), links @ y[1]
+        if len(sides) == 2:
+            keys, linked = keys + y[0], np.concatenate([linked, x[1] @ links])
+        hit = np.flatnonzero(linked)
+        return pa.table({"key": pa.array([keys[i] for i in hit], pa.binary()), "linked": pa.array(linked[hit], pa.int64())})
+
+    return run
+
+
 class _Links:
     """Verification of candidate pairs against the whole sets of their texts."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
 
-    def sets(self, ids: DataFrame) -> DataFrame:
+    def sets(self, ids: DataFrame, keyed: bool = False) -> DataFrame:
         """(doc_id, set) of the documents with these ids and of a few others, which joins leave out.
 
+        ``keyed`` adds the key of the class.
+
         A table of fixed size, broadcast to the scan, keeps most other texts from being shuffled;
         if it fills up on a very large corpus, more texts pass and the join that follows decides.
         """
@@ -142,7 +241,7 @@ class _Links:
 
         spark = self.docs.sparkSession
         table = spark.sparkContext.broadcast(counting_table(ids, hashed, FILTER_BITS) > 0)
-        words = self.words
+        words, names = self.words, ["doc_id", "set", "key"] if keyed else ["doc_id", "set"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = table.value
@@ -152,11 +251,15 @@ class _Links:
                 for part, texts in text_slices([kept]):
                     offsets, values = shingle_sets(texts, words)
                     packed = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
-                    sets = [packed[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+                    spans = list(zip(offsets[:-1], offsets[1:], strict=True))
+                    columns = [part.column(0), pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary())]
+                    if keyed:
+                        keys = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in spans]
+                        columns.append(pa.array(keys, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
         texts = self.docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-        return texts.mapInArrow(run, "doc_id long, set binary")
+        return texts.mapInArrow(run, "doc_id long, set binary" + (", key binary" if keyed else ""))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose documents link, written to the shared folder."""
@@ -168,6 +271,40 @@ class _Links:
         # Repeated rows of a document verify a pair again.
         return cut(met.mapInArrow(_verified(self.percent), "a long, b long").distinct(), "links")
 
+    def counts(self, classes: DataFrame) -> DataFrame:
+        """(key, linked): how many documents of other classes each class links with; none, no row.
+
+        ``classes`` (key, rep, class_size, n_shingles, component). Links lie inside components, so
+        small components share a block and large ones are cut into blocks that all meet.
+        """
+        sizes = classes.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).where("n > 1")
+        needs = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("long")
+        members = cut(classes.join(sizes.withColumn("parts", needs).drop("n", "w"), "component"), "members")
+        few = members.where("parts = 1").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).first()
+        buckets = 1 + 2 * max(few["n"] // BLOCK_SETS, (few["w"] or 0) // BLOCK_SHINGLES)
+        # A group of small components has its hash as number and one part, -1; a large component its id.
+        small = F.col("parts") == 1
+        members = members.withColumns({
+            "group": F.when(small, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")),
+            "part": F.when(small, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("key"), F.col("parts"))),
+        })
+        sets = self.sets(members.select(F.col("rep").alias("id")).distinct(), keyed=True)
+        sets = sets.withColumnRenamed("doc_id", "rep")
+        full = members.join(sets, ["rep", "key"]).groupBy("key").agg(
+            *[F.first(c).alias(c) for c in ("group", "part", "parts", "class_size", "set")]
+        )
+        blocks = cut(
+            full.select("group", "part", "parts", "key", "class_size", "set").groupBy("group", "part").applyInArrow(
+                _packed, "group long, part long, parts long, keys binary, copies binary, sizes binary, shingles binary"
+            ),
+            "blocks",
+        )
+        others = F.when(F.col("part") < 0, F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        met = blocks.withColumn("o", F.explode(others))
+        met = met.withColumns({"left": F.least("part", "o"), "right": F.greatest("part", "o")}).drop("o", "parts")
+        found = met.groupBy("group", "left", "right").applyInArrow(_counted(self.percent), "key binary, linked long")
+        return cut(found.groupBy("key").agg(F.sum("linked").alias("linked")), "counts")
+
 
 def _sized(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """Pairs that their sizes allow and that share enough prefix shingles.
@@ -233,16 +370,20 @@ def _stars(known: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, class_size, n_verified, component_id), one row for each row of ``docs``.
+    """(doc_id, n_shingles, class_id, class_size, n_links, component_id), one row for each row of ``docs``.
 
     Documents link when 100 * intersection >= ``percent`` * union of their sets of shingles.
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable.
-    ``n_verified`` counts the links that were verified for the class; pairs that are connected
-    already are not, so it is no degree.
+    ``n_links`` is the number of other rows that a row links with, those with the same set included.
     Null and empty texts and texts without words have no shingles and link with nothing. Repeated
     rows of a document give repeated rows. Rows with a null id are their own, unlinked class.
     Other columns are ignored. Only ``doc_id`` and ``text`` are read.
     """
+    return _linked(docs, words, percent, counted=True)
+
+
+def _linked(docs: DataFrame, words: int, percent: int, counted: bool) -> DataFrame:
+    """The result of ``link``; without ``n_links`` unless they are to be counted."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -276,35 +417,36 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tokens = cut(tokens.join(common.where("first < last"), "token"), "tokens")
 
     links = _Links(rows, words, percent)
-    edges = None
+    known = None
     for leader in ("first", "last"):
         pairs = tokens.where(F.col("rep") != F.col(leader)).select(
             F.least("rep", leader).alias("a"), F.greatest("rep", leader).alias("b")
         )
-        if edges is not None:
+        if known is not None:
             pairs = pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("c_a")), "a", "left")
             pairs = pairs.join(known.select(F.col("id").alias("b"), F.col("component").alias("c_b")), "b", "left")
             pairs = pairs.where("coalesce(c_a, a) <> coalesce(c_b, b)")
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
         new = links.verified(_sized(pairs, meta, percent))
         # What is connected already goes on as stars, so that a round starts from few edges.
-        known = components(new if edges is None else _stars(known).union(new))
-        edges = new if edges is None else edges.union(new)
+        known = components(new if known is None else _stars(known).union(new))
 
     placed = tokens.join(known.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     pairs = cut(_across(placed, percent), "across")
     new = links.verified(_sized(_shared(pairs, firsts), meta, percent))
     final = components(_stars(known).union(new)).withColumnRenamed("id", "rep")
-    edges = edges.union(new)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
-        F.count("*").alias("n_verified")
-    )
-    classes = classes.select("key", F.col("rep"), "class_size").join(final, "rep", "left").join(ends, "rep", "left")
+    classes = classes.join(final, "rep", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "rep"))
+    counts = []
+    if counted:
+        # Different texts of one id have one component, also where nothing else is in it.
+        linked = links.counts(classes.select("key", "rep", "class_size", "n_shingles", "component"))
+        classes = classes.join(linked, "key", "left")
+        n_links = F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))
+        counts = [n_links.cast("long").alias("n_links")]
     of_class = classes.select(
-        "key", F.col("rep").alias("class_id"), "class_size",
-        F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
-        F.coalesce("component", "rep").alias("component_id"),
+        "key", F.col("rep").alias("class_id"), "class_size", *counts, F.col("component").alias("component_id"),
     )
     # One class may hold a third of all rows, so both sides are spread over salts.
     salts = 16
@@ -316,7 +458,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
+        *[F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links") for _ in counts],
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
@@ -326,7 +468,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Of repeated rows of an id one is kept; rows with a null id are all kept.
     """
-    linked = cut(link(docs, words, percent), "linked")
+    linked = cut(_linked(docs, words, percent, counted=False), "linked")
     gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
     none = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     rows = docs.withColumn("_none", none).join(gone, "doc_id", "left_anti")

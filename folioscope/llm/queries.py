@@ -63,6 +63,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_ngram_jaccard_links")
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_links")
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -138,6 +143,12 @@ SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id
 FROM shingled d JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) m ON m.id = d.doc_id
 """
 
+_LINKS = ORACLES["op3_ngram_jaccard_join"].partition("both_ways AS")[0].rstrip().rstrip(",")
+ORACLES["op3_ngram_jaccard_links"] = f"""{_LINKS}
+SELECT d.doc_id, count(l.a) AS n_links
+FROM documents d LEFT JOIN links l ON d.doc_id IN (l.a, l.b) GROUP BY d.doc_id
+"""
+
 ORACLES["op10_embedding_dedup"] = """
 WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings

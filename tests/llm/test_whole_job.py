@@ -1,8 +1,11 @@
 """Results that must be whole: no link, key, language or part of a text is left out."""
 
+import random
+
 import numpy as np
+import pytest
 
-from folioscope.llm import embedding_dedup
+from folioscope.llm import embedding_dedup, jaccard_join
 
 
 def vector_rows(x, first=0):
@@ -29,3 +32,25 @@ def test_vectors_link_across_cells_and_by_length(spark):
         label = embedding_dedup.forest(len(y), *np.nonzero(linked))
         assert [out[first + i]["n_links"] for i in range(len(y))] == (linked.sum(axis=1) - 1).tolist()
         assert [out[first + i]["component_id"] for i in range(len(y))] == (first + label).tolist()
+
+
+@pytest.mark.parametrize("block_sets", [1024, 16])
+def test_links_inside_components_are_counted(spark, monkeypatch, block_sets):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block_sets)
+    rnd = random.Random(7)
+    texts = {}
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(90)]
+        for _ in range(30):
+            words = list(base)
+            for k in rnd.sample(range(90), rnd.randint(0, 3)):
+                words[k] = f"own{rnd.randint(0, 5)}"
+            texts[len(texts)] = " ".join(words)
+    texts |= {200: texts[0], 201: texts[0], 300: "a text of its own without any copy"}
+    rows = [*texts.items(), (None, texts[0])]
+    out = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in texts.items() for w in [t.split()]}
+    want = {
+        a: sum(a != b and 100 * len(x & y) >= 85 * len(x | y) for b, y in sets.items()) for a, x in sets.items()
+    }
+    assert {r["doc_id"]: r["n_links"] for r in out} == want | {None: 0} and max(want.values()) > 8

@@ -2,7 +2,8 @@
 
 A signature is a common word (anchor) and the chain of the next two content words after it; up to
 three further common words on the way are passed over. The start of a text is an anchor as well,
-and its end stands for missing content words. The fingerprint of a text is the sorted set of the
+and so is every word after two content words in a row, so that texts without common words, in any
+language, are covered to their end. The end stands for missing content words. The fingerprint of a text is the sorted set of the
 hashes of its signatures. Fingerprints fall into classes by set length; sets whose classes are not
 neighbours are too unlike to be compared, all others are compared by their Jaccard similarity.
 """
@@ -39,6 +40,9 @@ _COMMON = _any(ANCHORS)
 _PASSED = f"(?:{_COMMON} ){{0,{SKIP}}}+"
 # A space is consumed and the rest looked at, so chains may overlap.
 SIGNATURE = f" (?=((?:\\^|{_COMMON}) (?:{_PASSED}[^ ]+ ){{{CHAIN}}}))"
+# Two content words are looked over, and what follows them starts a signature.
+_CONTENT = f"(?!(?:\\^|\\$|{_COMMON}) )[^ ]+ "
+STRETCH = f" (?={_CONTENT}{_CONTENT}({_CONTENT}(?:{_PASSED}[^ ]+ ){{{CHAIN}}}))"
 _BETWEEN = f" (?:{_COMMON} )+"
 
 
@@ -46,7 +50,7 @@ def signatures(text: Column | str) -> Column:
     """Sorted distinct hashes of the signatures of a text; empty for a text without a word."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     marked = F.concat(F.lit(" ^ "), words, F.lit(" $" * CHAIN + " "))
-    found = F.regexp_extract_all(marked, F.lit(SIGNATURE), F.lit(1))
+    found = F.concat(*[F.regexp_extract_all(marked, F.lit(p), F.lit(1)) for p in (SIGNATURE, STRETCH)])
     return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.hash(F.regexp_replace(s, _BETWEEN, " ")))))
 
 

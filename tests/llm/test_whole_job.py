@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from folioscope.llm import embedding_dedup, jaccard_join
+from folioscope.llm import embedding_dedup, jaccard_join, spotsigs
 
 
 def vector_rows(x, first=0):
@@ -54,3 +54,11 @@ def test_links_inside_components_are_counted(spark, monkeypatch, block_sets):
         a: sum(a != b and 100 * len(x & y) >= 85 * len(x | y) for b, y in sets.items()) for a, x in sets.items()
     }
     assert {r["doc_id"]: r["n_links"] for r in out} == want | {None: 0} and max(want.values()) > 8
+
+
+def test_texts_without_common_words_are_covered_to_their_end(spark):
+    words = [f"zq{i}" for i in range(12)]
+    rows = [(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(2, 12)] + [(20, " ".join(words))]
+    found = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", spotsigs.signatures("text").alias("s"))
+    sets = {r["doc_id"]: set(r["s"]) for r in found.collect()}
+    assert all(sets[k] != sets[20] and sets[k] & sets[20] for k in range(2, 12))

@@ -23,7 +23,7 @@ from folioscope.session import cut
 
 RATE = 0.05
 BINS_PER_DECADE, LAST_BIN = 20, 400  # of p-values; their number bounds what the driver sees
-LEAST = 24  # characters of a candidate at least, whatever its alphabet
+LEAST = 24  # characters of a candidate at least, if its alphabet has few symbols
 TEXT_REPEAT = 0.066  # chance that two letters of ordinary writing are the same
 POWER = 1.645 + 2.326  # normal quantiles of 5 % errors and 99 % power
 
@@ -34,7 +34,6 @@ ASSIGN = (
 # A run from the first AKIA on, and runs of hexadecimal digits, each at least so long.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
 
 # Encodings from narrow to wide: name, pattern, size of the alphabet.
 ENCODINGS = (
@@ -54,7 +53,11 @@ def least_length(alphabet: int) -> int:
     excess = alphabet * TEXT_REPEAT - 1
     if excess <= 0.1:  # few symbols: writing does not fit into the alphabet anyway
         return LEAST
-    return max(LEAST, math.ceil(POWER * math.sqrt(2 * (alphabet - 1)) / excess))
+    return math.ceil(POWER * math.sqrt(2 * (alphabet - 1)) / excess)
+
+
+# Runs from the shortest of these lengths on; the battery infers which one holds.
+RUN = f"[A-Za-z0-9+/_-]{{{min(least_length(m) for _, _, m in ENCODINGS)},}}"
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:

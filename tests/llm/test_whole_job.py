@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from folioscope.llm import embedding_dedup, jaccard_join, spotsigs
+from folioscope.llm import embedding_dedup, jaccard_join, secret_scan, spotsigs
 
 
 def vector_rows(x, first=0):
@@ -62,3 +62,13 @@ def test_texts_without_common_words_are_covered_to_their_end(spark):
     found = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", spotsigs.signatures("text").alias("s"))
     sets = {r["doc_id"]: set(r["s"]) for r in found.collect()}
     assert all(sets[k] != sets[20] and sets[k] & sets[20] for k in range(2, 12))
+
+
+def test_short_random_keys_are_found(spark):
+    rnd = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "see " + "".join(rnd.choice(alphabet) for _ in range(16 + i % 8))) for i in range(80)]
+    rows += [(100 + i, "thereatthereatthere in state-of-the-art-state Ohohohohohohohohoh") for i in range(20)]
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["found"] for r in out}
+    assert sum(bool(found[i]) for i in range(80)) >= 72 and not any(found[i] for i in found if i >= 100)

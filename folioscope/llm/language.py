@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_slices
@@ -22,7 +22,7 @@ from folioscope.llm.common import text_slices
 DICTIONARY_BYTES = 200_000  # of each language
 SAMPLE_ROWS = 4000  # labelled rows that fill the dictionaries at most
 ROW_CHARS = 300  # characters of such a row at most; prediction reads all
-LANGUAGES = 64  # languages at most; the most frequent ones
+LEAST_ROWS = 40  # rows that a language may have, however many languages there are
 BLOCK = 4096  # bytes compressed together
 LEVEL = 3
 NARROW = 0.02  # margin below which a prediction counts as rejected
@@ -75,23 +75,24 @@ class Dictionaries:
 def fit(docs: DataFrame, usable: object = None) -> Dictionaries:
     """Dictionaries from a bounded sample of rows with text and lang that the condition allows.
 
-    The most frequent LANGUAGES languages share SAMPLE_ROWS rows evenly, taken in the order of a
-    hash of their ids; no language can crowd out another.
+    All languages share SAMPLE_ROWS rows evenly, or have LEAST_ROWS if that is more, taken in the
+    order of a hash of their ids; no language can crowd out another.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     if usable is not None:
         rows = rows.where(usable)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    contents = {}
-    each = max(1, SAMPLE_ROWS // max(1, len(counts)))
-    for row in counts:
-        own = rows.where(F.col("lang") == row["lang"])
-        # A row's share of the dictionary lies where its hash says, not always at its head.
-        start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - ROW_CHARS, F.lit(1))).cast("int") + 1
-        part = F.col("text").substr(start, F.lit(ROW_CHARS))
-        top = own.select(F.xxhash64("doc_id").alias("h"), "doc_id", part.alias("part")).orderBy("h", "doc_id", "part").limit(each)
-        texts = list(dict.fromkeys(t for t in top.select("part").toArrow()["part"].to_pylist()))
-        contents[row["lang"]] = " ".join(map(plain, texts)).encode()[-DICTIONARY_BYTES:]
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    each = max(LEAST_ROWS, SAMPLE_ROWS // max(1, len(counts)))
+    # A row's share of the dictionary lies where its hash says, not always at its head.
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - ROW_CHARS, F.lit(1))).cast("int") + 1
+    part = F.col("text").substr(start, F.lit(ROW_CHARS))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))
+    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", part.alias("part"))
+    top = rows.withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "part").toArrow()
+    texts = {row["lang"]: {} for row in counts}
+    for lang, _, text in sorted(zip(*(top[c].to_pylist() for c in ("lang", "n", "part")), strict=True)):
+        texts[lang][text] = None
+    contents = {k: " ".join(map(plain, own)).encode()[-DICTIONARY_BYTES:] for k, own in texts.items()}
     return Dictionaries(contents)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from folioscope.llm import embedding_dedup, jaccard_join, secret_scan, spotsigs
+from folioscope.llm import embedding_dedup, jaccard_join, language, secret_scan, spotsigs
 
 
 def vector_rows(x, first=0):
@@ -72,3 +72,9 @@ def test_short_random_keys_are_found(spark):
     out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {r["doc_id"]: r["found"] for r in out}
     assert sum(bool(found[i]) for i in range(80)) >= 72 and not any(found[i] for i in found if i >= 100)
+
+
+def test_every_language_has_a_dictionary(spark):
+    rows = [(100 * k + i, f"l{k}", " ".join(f"q{k}x{(i + j) % 9}{chr(97 + k % 26) * 5}" for j in range(12))) for k in range(70) for i in range(1 + (k < 64))]
+    learned = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert set(learned.names) == {f"l{k}" for k in range(70)} and all(learned.contents.values())

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    embedding_dedup, jaccard_join, language, packing, pieces, pii, quality, secret_scan, spotsigs, toxicity,
+    embedding_dedup, hard_negatives, jaccard_join, language, lexical_search, packing, pieces, pii, quality, secret_scan,
+    spotsigs, token_counts, toxicity,
 )
 from folioscope.llm.common import documents, labels, remainder
 from folioscope.session import ship_package
@@ -117,6 +118,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query("op11_lexical_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+@query("op12_hard_negatives")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    # The given labels are the vectors' own clusters; moving every seventh row makes near rows of other labels.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 ORACLES["op3_ngram_jaccard_join"] = """
 WITH RECURSIVE worded AS (
   SELECT doc_id, list_filter(string_split_regex(
@@ -165,3 +184,56 @@ FROM embeddings e
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = e.vec_id
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) m ON m.id = e.vec_id
 """
+
+ORACLES["op11_lexical_search"] = """
+WITH worded AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+held AS (
+  SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals),
+parts AS (
+  SELECT h.doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS part
+  FROM held h JOIN weights USING (term) JOIN sizes USING (doc_id), totals),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score
+  FROM asked JOIN parts USING (term) GROUP BY item_id, doc_id HAVING sum(part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 50
+"""
+
+ORACLES["op12_hard_negatives"] = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+anchors AS (SELECT * FROM good WHERE vec_id % 100 = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, g.vec_id AS other_id, a.label = g.label AS same,
+         CAST(list_dot_product(a.x, g.x) AS BIGINT) AS score
+  FROM anchors a JOIN good g ON a.vec_id <> g.vec_id AND len(a.x) = len(g.x)),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS r FROM scores WHERE same)
+  WHERE r <= 5),
+fitting AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM fitting WHERE rank <= 10
+"""

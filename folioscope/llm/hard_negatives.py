@@ -1,7 +1,7 @@
 """Hard negatives of anchors by coordinate pruning.
 
-Rows are dealt by range into blocks of one dimension and label, long vectors first, and anchors into
-tiles; each block meets each tile that needs it in one group of bounded size. In a group the rows
+Rows are dealt by range into blocks of one dimension and label, long vectors first, and anchors by
+hash into tiles; each block meets each tile that needs it in one group of bounded size. In a group the rows
 form buckets of similar length. A score of at least ``t`` between an anchor and a row of a bucket
 means a cosine of at least ``c = t / (anchor's length x longest of the bucket)``, and then every
 coordinate of the row's unit vector lies within ``sqrt((1 - c^2) (1 - q^2))`` of ``c q``, where ``q``
@@ -75,9 +75,9 @@ def usable(rows: DataFrame) -> DataFrame:
     return good.mapInArrow(run, ROW_SCHEMA).groupBy("vec_id").agg(one).select("vec_id", "r.*")
 
 
-def dealt(rows: DataFrame, block_rows: int, label: bool = True) -> DataFrame:
-    """``rows`` with ``block``: runs of at most ``block_rows`` rows of one dimension (and label), long ones first."""
-    keys = ["dim", *(["label"] if label else [])]
+def dealt(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` with ``block``: runs of at most ``block_rows`` rows of one dimension and label, long ones first."""
+    keys = ["dim", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -98,6 +98,13 @@ def dealt(rows: DataFrame, block_rows: int, label: bool = True) -> DataFrame:
     return sorted_rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", block long")
 
 
+def tiled(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """``rows`` with ``tile``: parts of some ``tile_rows`` rows of one dimension and label, by hash."""
+    parts = rows.groupBy("dim", "label").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    return rows.join(parts, ["dim", "label"]).withColumn("tile", F.concat_ws(":", "dim", "label", part)).drop("parts")
+
+
 class Bucket:
     """Rows of similar length: whole numbers, unit vectors' sorted coordinate lists, the greatest length."""
 
@@ -253,11 +260,9 @@ def mine(
     """
     rows = cut(dealt(usable(vectors), block_rows), "rows")
     chosen = rows.where(F.col("vec_id") % every == 0).drop("block")
-    tiled = dealt(chosen, tile_anchors).select(
-        F.col("vec_id").alias("anchor_id"), "label", "dim", F.col("x").alias("q"), F.col("length").alias("q_length"),
-        F.col("block").alias("tile"),
-    )
-    anchors = cut(tiled, "anchors")
+    anchors = cut(tiled(chosen, tile_anchors).select(
+        F.col("vec_id").alias("anchor_id"), "label", "dim", F.col("x").alias("q"), F.col("length").alias("q_length"), "tile"
+    ), "anchors")
     nothing = F.lit(NONE).cast("long")
     all_of_it = F.array(F.struct(
         F.lit(0).alias("own"), F.lit(None).cast("long").alias("positive_id"), F.lit(None).cast("long").alias("positive_score"),

@@ -1,4 +1,4 @@
-"""Arrow batches of bounded size, words of texts, bounded counting tables, label samples."""
+"""Arrow batches of bounded size, words of texts, bounded tables of hashes, label samples, what workers keep."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 6_000_000  # of text looked at together in a task
 CHUNKS = 64  # rows that a counting table is shipped in
+BATCH_ROWS = "1000"  # rows that Spark hands to a Python worker at once, where the session has its default
+_kept: dict[str, object] = {}
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # multipliers of the finishing step of splitmix64
 
 
@@ -20,6 +22,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def lean_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches of whole texts and sets be small, unless the session's owner chose a size."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, BATCH_ROWS)
+    return spark
+
+
+def kept(key: str | None, build: Callable[[], object] | None = None) -> object:
+    """What this Python worker keeps from task to task under ``key``; anything kept under another key goes.
+
+    Workers serve one stage after the other, so what an earlier operator kept would stay for good.
+    """
+    if key not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        if key is not None:
+            _kept[key] = build()
+    return _kept.get(key)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, or ``name`` with underscores, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -121,13 +152,54 @@ def counting_table(
     return table.ravel()
 
 
+def presence_table(
+    df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int
+) -> np.ndarray:
+    """Which of ``2 ** bits`` cells the hashes of all rows fall into, one bit a cell.
+
+    As with ``counting_table``, tasks send tables of fixed size in chunks and the driver gets one.
+    """
+    width = (1 << bits) // CHUNKS // 8
+    schema = "chunk int, cells binary"
+
+    def rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in np.flatnonzero(table.any(axis=1)):
+            yield pa.RecordBatch.from_pydict(
+                {"chunk": pa.array([i], pa.int32()), "cells": pa.array([table[i].tobytes()], pa.binary())}
+            )
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for part in hashes(batches):
+            seen[(part >> np.uint64(64 - bits)).astype(np.int64)] = True
+        yield from rows(np.packbits(seen, bitorder="little").reshape(CHUNKS, width))
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((CHUNKS, width), np.uint8)
+        for batch in batches:
+            for chunk, cells in zip(batch["chunk"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                table[chunk] |= np.frombuffer(cells, np.uint8)
+        yield from rows(table)
+
+    table = np.zeros((CHUNKS, width), np.uint8)
+    for row in df.mapInArrow(mark, schema).repartition(CHUNKS, "chunk").mapInArrow(either, schema).collect():
+        table[row["chunk"]] |= np.frombuffer(row["cells"], np.uint8)
+    return table.ravel()
+
+
+def present(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the hashes fall into a cell that ``presence_table`` marked."""
+    cell = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, fold: int, bound: int, chars: int
 ) -> list[tuple[str, int]]:
     """At most ``bound`` labelled texts outside the held-out fold, in an order set by their ids.
 
     Training reads at most ``chars`` characters of a text: its head, and a window from its middle
-    and its end. Ids with two different labels take the larger one.
+    and its end. Ids with two different labels take the larger one, ids with several texts the least.
     """
     marked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", 5) != fold))
@@ -140,6 +212,8 @@ def labelled_sample(
         F.concat(F.substring(text, 1, third), F.lit("\n"), text.substr((n / 2).cast("int"), F.lit(third)),
                  F.lit("\n"), text.substr(n - third + 1, F.lit(third)))
     )
-    rows = docs.select("doc_id", shown.alias("text")).join(F.broadcast(marked), "doc_id").orderBy("doc_id", "text")
+    rows = docs.select("doc_id", shown.alias("text")).join(F.broadcast(marked), "doc_id")
+    # One text an id, so that an id of very many rows brings one.
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id")
     table = rows.select("text", "y").toArrow()
     return list(zip(table["text"].to_pylist(), table["y"].to_pylist(), strict=True))

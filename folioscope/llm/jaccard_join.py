@@ -25,10 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import counting_table, hash_words, mixed, text_slices, words_of
+from folioscope.llm.common import (
+    counting_table, hash_words, kept, mixed, presence_table, present, text_slices, unused, words_of,
+)
 from folioscope.llm.components import components
 from folioscope.session import cut
 
@@ -36,6 +39,7 @@ TABLE_BITS = 20  # cells of the table that estimates how often a shingle occurs:
 FILTER_BITS = 22  # cells of the table that keeps most texts without a candidate out of a second scan
 MANY = 32  # expected candidates from which on a prefix is lengthened
 MOST_MATCHES = 6
+SLICE = 2_000_000  # of text whose shingles are held at once, in several arrays as long as the words
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,9 +76,10 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(words: int, percent: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None)
         counts = table.value
         usual = max(1.0, float(np.median(counts)))
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, size=SLICE):
             offsets, values = shingle_sets(texts, words)
             n_all = np.diff(offsets)
             seen = counts[(values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -225,6 +230,7 @@ class _Links:
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
+        self.tables: list[Broadcast] = []
 
     def sets(self, ids: DataFrame, keyed: bool = False) -> DataFrame:
         """(doc_id, set) of the documents with these ids and of a few others, which joins leave out.
@@ -240,15 +246,16 @@ class _Links:
                 yield mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
 
         spark = self.docs.sparkSession
-        table = spark.sparkContext.broadcast(counting_table(ids, hashed, FILTER_BITS) > 0)
+        table = spark.sparkContext.broadcast(presence_table(ids, hashed, FILTER_BITS))
+        self.tables.append(table)
         words, names = self.words, ["doc_id", "set", "key"] if keyed else ["doc_id", "set"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = table.value
             for batch in batches:
                 own = mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                kept = batch.filter(pa.array(wanted[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]))
-                for part, texts in text_slices([kept]):
+                some = batch.filter(pa.array(present(wanted, own, FILTER_BITS)))
+                for part, texts in text_slices([some], size=SLICE):
                     offsets, values = shingle_sets(texts, words)
                     packed = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
                     spans = list(zip(offsets[:-1], offsets[1:], strict=True))
@@ -261,6 +268,11 @@ class _Links:
         texts = self.docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
         return texts.mapInArrow(run, "doc_id long, set binary" + (", key binary" if keyed else ""))
 
+    def close(self) -> None:
+        """Drop the tables on driver and executors; what was read with them has been written."""
+        for table in self.tables:
+            table.destroy()
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose documents link, written to the shared folder."""
         pairs = cut(pairs.select("a", "b"), "pairs")
@@ -388,7 +400,8 @@ def _linked(docs: DataFrame, words: int, percent: int, counted: bool) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, texts in text_slices(batches):
+        kept(None)
+        for _, texts in text_slices(batches, size=SLICE):
             yield shingle_sets(texts, words)[1]
 
     table = spark.sparkContext.broadcast(counting_table(rows.select("text"), hashes, TABLE_BITS))
@@ -399,6 +412,7 @@ def _linked(docs: DataFrame, words: int, percent: int, counted: bool) -> DataFra
         ),
         "prefixes",
     )
+    table.destroy()
     full = found.where("n_shingles > 0 and doc_id is not null")
     classes = cut(
         full.groupBy("key").agg(
@@ -445,6 +459,7 @@ def _linked(docs: DataFrame, words: int, percent: int, counted: bool) -> DataFra
         classes = classes.join(linked, "key", "left")
         n_links = F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))
         counts = [n_links.cast("long").alias("n_links")]
+    links.close()
     of_class = classes.select(
         "key", F.col("rep").alias("class_id"), "class_size", *counts, F.col("component").alias("component_id"),
     )
@@ -464,13 +479,24 @@ def _linked(docs: DataFrame, words: int, percent: int, counted: bool) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the one with the smallest id.
+    """The rows of ``docs`` without near copies: of each component of texts the row with the smallest id.
 
-    Of repeated rows of an id one is kept; rows with a null id are all kept.
+    Rows are told apart by themselves, not by id: where an id repeats, each of its rows is a node of
+    the components, so a text that is like no other stays, whatever other texts share its id. Equal
+    ids are decided by the smaller text, equal rows keep any one. Rows with a null id are all kept,
+    as are rows without words. An empty table gives an empty table; other columns may have any names.
     """
-    linked = cut(_linked(docs, words, percent, counted=False), "linked")
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    none = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    rows = docs.withColumn("_none", none).join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_none").orderBy("text"))
-    return rows.withColumn("_n", first).where("_n = 1").select(docs.columns)
+    known = docs.where(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        linked = cut(_linked(docs, words, percent, counted=False), "linked")
+        gone = linked.where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = unused("row", docs.columns)
+    numbered = cut(known.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("doc_id"), "text")
+    linked = cut(_linked(rows, words, percent, counted=False), "linked")
+    linked = linked.select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct("doc_id", "text", row)).alias("first")
+    best = numbered.select("doc_id", "text", row).join(linked, row).groupBy("component_id").agg(first)
+    chosen = numbered.join(best.select(F.col("first")[row].alias(row)), row, "left_semi")
+    return chosen.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

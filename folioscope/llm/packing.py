@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import text_slices, words_of
+from folioscope.llm.common import kept, text_slices, words_of
 from folioscope.session import cut
 
 MEMO_WORDS = 400_000  # words whose ids a Python worker keeps
 SLICE = 4_000_000
 SPREAD = 64  # parts that the pieces of one length are ranked in
 
-_words: dict[str, WordIds] = {}
-
 
 class WordIds:
     """Ids of texts, each distinct word between ASCII white space encoded once.
@@ -111,9 +109,7 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    return kept(f"word ids {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 1) -> DataFrame:

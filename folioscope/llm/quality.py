@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import hash_words, labelled_sample, mixed, text_slices, words_of
+from folioscope.llm.common import hash_words, kept, labelled_sample, mixed, text_slices, words_of
 
 BITS = 17  # 2 ** BITS vectors
 WIDTH = 6
@@ -163,6 +163,7 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score") -> DataFr
 
     @F.arrow_udf("double")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept(None)
         for part in parts:
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             found = [scores(texts, model.value) for _, texts in text_slices([batch])]

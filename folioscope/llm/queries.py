@@ -11,7 +11,7 @@ from folioscope.llm import (
     embedding_dedup, hard_negatives, jaccard_join, language, lexical_search, packing, pieces, pii, quality, secret_scan,
     spotsigs, token_counts, toxicity,
 )
-from folioscope.llm.common import documents, labels, remainder
+from folioscope.llm.common import documents, labels, lean_batches, remainder
 from folioscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(ship_package(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(lean_batches(ship_package(spark)), sf_dir)
         return fn
 
     return register

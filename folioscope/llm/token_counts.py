@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import text_slices
+from folioscope.llm.common import kept, text_slices
 
 KEPT_WORDS = 400_000  # counts that a Python worker keeps
 KEPT_LENGTH = 64  # longer words are counted anew each time
@@ -38,8 +38,6 @@ SETTLED = re.compile("[\x00-\u0557\u1e00-\u206f\u20a0-\u20bf\u2100-\u2bff\u3000-
 USUAL_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 USUAL_SPLIT = {"behavior": "Removed", "invert": True}
 
-_counters: dict[str, TokenCounter] = {}
-
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable, else the next free one from 256 on."""
@@ -153,9 +151,7 @@ class TokenCounter(dict):
 
 def counter(path: str) -> TokenCounter:
     """The counter of a vocabulary file, built once in a Python worker."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    known = _counters[path]
+    known = kept(f"token counts {path}", lambda: TokenCounter(path))
     if len(known) > KEPT_WORDS:
         known.clear()
     return known

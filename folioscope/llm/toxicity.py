@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import labelled_sample, text_slices, words_of
+from folioscope.llm.common import kept, labelled_sample, text_slices, words_of
 
 SAMPLE_ROWS = 5000  # labelled rows that training sees at most
 SAMPLE_CHARS = 9000  # characters of each that training reads at most; scoring reads all
@@ -224,6 +224,7 @@ def score(docs: DataFrame, grammar: Grammar, column: str = "score") -> DataFrame
 
     @F.arrow_udf("double")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept(None)
         if not own:
             own.append(Grammar(*model.value))
         for part in parts:

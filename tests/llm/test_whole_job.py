@@ -78,3 +78,71 @@ def test_every_language_has_a_dictionary(spark):
     rows = [(100 * k + i, f"l{k}", " ".join(f"q{k}x{(i + j) % 9}{chr(97 + k % 26) * 5}" for j in range(12))) for k in range(70) for i in range(1 + (k < 64))]
     learned = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     assert set(learned.names) == {f"l{k}" for k in range(70)} and all(learned.contents.values())
+
+
+def kept_by_brute_force(rows, words=5, percent=80):
+    """(doc_id, text) of the least row of each component of rows; rows with a null id, or without words, all."""
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+    keyed = [(i, t) for i, t in rows if i is not None]
+    sets = [shingles(t) for _, t in keyed]
+    label = list(range(len(keyed)))
+    for a in range(len(keyed)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    best = {}
+    for row, c in zip(keyed, label, strict=True):
+        best[c] = min(best.get(c, row), row)
+    return sorted([*best.values(), *(r for r in rows if r[0] is None)], key=str)
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_one_row_of_each_component_stays(spark, repeat):
+    rnd = random.Random(3)
+    rows = []
+    for group in range(5):
+        base = [f"g{group}w{i}" for i in range(80)]
+        for _ in range(6):
+            words = list(base)
+            for k in rnd.sample(range(80), rnd.randint(0, 3)):
+                words[k] = f"own{rnd.randint(0, 5)}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    rows += [(60, "a text like no other in this table"), (61, "short"), (62, "short"), (63, ""), (None, rows[0][1]), (None, "")]
+    if repeat:
+        # One id holds a copy, texts that are like nothing else, and an equal row.
+        rows += [(3, "first of two texts that share an id"), (3, "second of two texts with one id"), (3, rows[10][1]), (62, "short")]
+    schema = "doc_id long, text string, _none string, _n int, row string"
+    table = spark.createDataFrame([(*r, "clash", 1, "clash") for r in rows], schema)
+    out = jaccard_join.keep_one(table)
+    assert out.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == kept_by_brute_force(rows)
+    assert jaccard_join.keep_one(table.limit(0)).count() == 0
+
+
+def test_workers_keep_one_thing_at_a_time():
+    from folioscope.llm import common
+
+    assert common.kept("a", lambda: [1]) is common.kept("a", lambda: [2])
+    assert common.kept("b", lambda: [3]) == [3] and list(common._kept) == ["b"]
+    assert common.kept(None) is None and not common._kept
+
+
+def test_presence_tables(spark):
+    from folioscope.llm import common
+
+    rows = spark.range(5000).repartition(7)
+
+    def hashed(batches):
+        for batch in batches:
+            yield common.mixed(batch.column(0).to_numpy().view(np.uint64))
+
+    table = common.presence_table(rows, hashed, 16)
+    own = common.mixed(np.arange(200_000, dtype=np.uint64))
+    marked = np.zeros(1 << 16, bool)
+    marked[(own[:5000] >> np.uint64(48)).astype(np.int64)] = True
+    assert common.present(table, own, 16).tolist() == marked[(own >> np.uint64(48)).astype(np.int64)].tolist()

@@ -1,10 +1,16 @@
 """Two-dimensional coordinates of the papers.
 
 ``pca`` projects on the two main axes. ``umap`` follows McInnes, Healy and Melville (2018): a
-weighted neighbour graph, then attraction along its edges against random repulsion. The graph
-is cut into blocks of bounded size. In each round a task moves the points of its block while the
-neighbours outside stand still; rounds exchange the new positions by a join. A point with very
-many edges has replicas in several blocks, and the round's result is their weighted mean.
+weighted neighbour graph, then attraction along its edges against random repulsion. Points are
+cut into blocks of bounded size, the leaves of a tree over their vectors, so that most edges stay
+inside a block. In each round a task moves the points of its block while the neighbours outside
+and a sample of all points stand still; rounds exchange the new positions by a join. Steps and
+rounds are the same for any number of points. A point with very many edges has a replica in the
+block of each neighbour, and the round's result is their weighted mean.
+
+Rounds start from ``landmarks``: a sample of bounded size is laid out as one block, and all other
+points are placed at the weighted mean of their nearest landmarks, in one pass. That alone is a
+layout too, and places points that come later in a stored layout without a new descent.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import arrays as A
 from folioscope.operators.filters import valid_embeddings
-from folioscope.operators.neighbours import distinct_vectors, nearest_distinct, spread_to_copies
+from folioscope.operators.leaves import bounded, with_leaves
+from folioscope.operators.neighbours import closest, distinct_vectors, nearest_distinct, spread_to_copies
+from folioscope.operators.prepare import hash_sample
 from folioscope.session import cut
 
 # Fixed values of the layout.
@@ -30,10 +38,15 @@ SEED = 42
 
 EDGES_DRAWN = 2
 NEGATIVES = 5
-SMALL_POINTS = 10_000  # up to here the longer descent
-STEPS_SMALL = 3000
-STEPS_LARGE = 1200
+STEPS = 1200
+ROUNDS = 4
+FINE_STEPS = 2400  # of all rounds together
+FINE_RATE = 0.02  # of their first step, against 1 for landmarks
 BLOCK_POINTS = 16_384
+PART = 0.5  # of its way that a point goes in a round, as its neighbours in other blocks go theirs
+SKY_POINTS = 1024  # points of all blocks that each block sees
+LANDMARKS = 20_000
+PLACED_ROWS = 2048  # rows that are compared with the landmarks together
 HUB_EDGES = 16_384
 START_EXTENT = 10.0
 COPIES_LISTED = 16
@@ -167,8 +180,11 @@ def _descend(
     return np.stack([own_x, own_y], axis=1).astype(np.float64)
 
 
-def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
-    """Task of one block: its edges and the positions of all their ends in, its points out."""
+def _round(steps: np.ndarray, shape: tuple[float, float], seed: int, sky: np.ndarray, part: float):
+    """Task of one block: its edges and the positions of all their ends in, its points out.
+
+    ``sky`` holds (id, x, y) of a few points of all blocks, which repel as the others do.
+    """
 
     def run(key: tuple, edges: pa.Table, ends: pa.Table) -> pa.Table:
         edges = edges.sort_by([("src", "ascending"), ("dst", "ascending")])
@@ -180,8 +196,9 @@ def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
         by_id, by_end = np.argsort(everyone), np.argsort(ids)
         at = np.stack([ends["x"].to_numpy(), ends["y"].to_numpy()], axis=1)
         at = at[by_end[np.searchsorted(ids, everyone, sorter=by_end)]]
+        far = sky[~np.isin(sky[:, 0].astype(np.int64), everyone)]
         moved = _descend(
-            at,
+            np.concatenate([at, far[:, 1:]]),
             len(own),
             np.append(first, len(src)),
             by_id[np.searchsorted(everyone, dst, sorter=by_id)],
@@ -190,6 +207,7 @@ def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
             shape,
             np.random.default_rng([seed, int(key[0].as_py())]),
         )
+        moved = at[: len(own)] + part * (moved - at[: len(own)])
         return pa.table({"id": own, "x": moved[:, 0], "y": moved[:, 1], "n": counts})
 
     return run
@@ -198,30 +216,31 @@ def _round(steps: np.ndarray, shape: tuple[float, float], seed: int):
 def optimise(
     edges: DataFrame,
     start: DataFrame,
+    blocks: DataFrame,
     n_points: int,
     min_dist: float = MIN_DIST,
     seed: int = SEED,
-    rounds: int = 16,
-    steps: int | None = None,
-    block_points: int = BLOCK_POINTS,
+    rounds: int = ROUNDS,
+    steps: int = FINE_STEPS,
+    rate: float = FINE_RATE,
 ) -> DataFrame:
     """(id, x, y) after pulling along edges (src, dst, weight) from the starting positions.
 
-    Edges are shuffled once, to their block, and stay there. A round sends each block the
-    positions of the points its edges touch, once per point, and gathers the points it moved.
+    ``blocks`` gives each id its block. Edges are shuffled once, to their block, and stay there. A
+    round sends each block the positions of the points its edges touch, once per point, and gathers
+    the points it moved; the driver sees ``SKY_POINTS`` positions or so.
     """
-    steps = steps or (STEPS_SMALL if n_points <= SMALL_POINTS else STEPS_LARGE)
-    blocks = max(1, math.ceil(n_points / block_points))
-    rounds = rounds if blocks > 1 else 1
     edges = cut(edges, "edges")
     hubs = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_EDGES)
-    parts = F.ceil(F.coalesce("degree", F.lit(1)) / F.lit(HUB_EDGES))
-    replica = F.pmod(F.xxhash64("dst"), parts)
-    block = F.pmod(F.xxhash64("src", replica), F.lit(blocks)).cast("int")
+    own = blocks.select(F.col("id").alias("src"), F.col("block").alias("own"))
+    other = blocks.select(F.col("id").alias("dst"), F.col("block").alias("other"))
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homed = edges.join(own, "src").withColumnRenamed("own", "block")
+    if not hubs.isEmpty():
+        block = F.when(F.col("degree").isNull(), F.col("block")).otherwise(F.col("other"))
+        homed = homed.join(hubs, "src", "left").join(other, "dst").withColumn("block", block)
     placed = (
-        edges.join(hubs, "src", "left")
-        .select("src", "dst", "weight", block.alias("block"))
+        homed.select("src", "dst", "weight", "block")
         .repartition(tasks, "block")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -233,14 +252,22 @@ def optimise(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     shape = curve(min_dist)
-    rates = np.array_split(1.0 - np.arange(steps) / steps, rounds)
+    rates = rate * (1.0 - np.arange(steps) / steps)
+    # Rounds have equal sums of rates: few long steps at first, many short ones at the end.
+    share = np.minimum((np.cumsum(rates) / rates.sum() * rounds).astype(int), rounds - 1)
+    seen = F.pmod(F.xxhash64("id"), F.lit(max(1, n_points // SKY_POINTS))) == 0
     at = start
-    for number, part in enumerate(rates):
+    # Small steps leave the whole as it is, so what a block sees of it is taken once.
+    sky = np.array([tuple(r) for r in at.where(seen).select("id", "x", "y").collect()]).reshape(-1, 3)
+    sky = sky[np.argsort(sky[:, 0])]
+    part = PART if rounds > 1 else 1.0
+    for number, own_rates in enumerate(rates[share == i] for i in range(rounds)):
         moved = (
             placed.groupBy("block")
             .cogroup(touched.join(at, "id").groupBy("home"))
             .applyInArrow(
-                _round(part, shape, seed + number), "id long, x double, y double, n long"
+                _round(own_rates, shape, seed + number, sky, part),
+                "id long, x double, y double, n long",
             )
         )
         mean = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("x", "y")]
@@ -260,6 +287,56 @@ def _plane(vectors: DataFrame) -> DataFrame:
     return at.select("id", F.col("at")[0].alias("x"), F.get("at", F.lit(1)).alias("y"))
 
 
+def place_near(vectors: DataFrame, known: pa.Table, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, x, y) of (id, embedding) rows: the weighted mean of their nearest placed vectors.
+
+    ``known`` (embedding, x, y) is a bounded table that each task holds. A row that equals one of
+    its vectors gets that one's place; weights are those of a neighbour graph. One Arrow pass.
+    """
+    corpus, place = A.matrix(known["embedding"]), np.stack([known[c].to_numpy() for c in ("x", "y")], axis=1)
+    k = min(k, len(corpus))
+    rank = np.arange(len(corpus))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PLACED_ROWS):
+                part = batch.slice(start, PLACED_ROWS)
+                rows, cols, distances = closest(A.matrix(part["embedding"]), corpus, rank, k)
+                distances, at = distances.reshape(-1, k), place[cols].reshape(-1, k, 2)
+                weights = local_weights(distances, max(2, k))
+                same = distances[:, :1] == 0
+                weights = np.where(same, np.arange(k) == 0, weights)
+                mean = (weights[:, :, None] * at).sum(axis=1) / weights.sum(axis=1)[:, None]
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], pa.array(mean[:, 0]), pa.array(mean[:, 1])], ["id", "x", "y"]
+                )
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInArrow(run, f"id {kind}, x double, y double")
+
+
+def landmark_table(
+    points: DataFrame, n: int, k: int, min_dist: float, seed: int, neighbours: str, most: int = LANDMARKS, steps: int = STEPS
+) -> pa.Table:
+    """(embedding, x, y) of at most ``most`` of the points (id, embedding), chosen by a hash of the id.
+
+    They start from their two main axes and are moved as one block, by one task of bounded size.
+    """
+    wanted = bounded(n, most, 4)
+    some = cut(hash_sample(points.select("id", "embedding"), "id", n, wanted, seed), "landmarks")
+    count = some.count()
+    flat = cut(_plane(some), "start")
+    extent = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
+    scale = START_EXTENT / (extent or 1.0)
+    at = flat.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+    if count > 2:
+        vectors = some.select(F.col("id").alias("rep"), "embedding")
+        edges = fuzzy_graph(nearest_distinct(vectors, count, min(k, count), neighbours), k)
+        one = some.select("id", F.lit(1).cast("long").alias("block"))
+        at = optimise(edges, at, one, count, min_dist, seed, 1, steps, 1.0)
+    return some.join(at, "id").orderBy("id").select("embedding", "x", "y").toArrow()
+
+
 def layout(
     df: DataFrame,
     method: str = "umap",
@@ -268,25 +345,48 @@ def layout(
     seed: int = SEED,
     key: str = "arxiv_id",
     neighbours: str = "forest",
+    block_points: int = BLOCK_POINTS,
+    landmarks: int = LANDMARKS,
     **options: int,
 ) -> DataFrame:
-    """(key, x, y) for every row that has a vector. Equal vectors share a place."""
+    """(key, x, y) for every row that has a vector. Equal vectors share a place.
+
+    ``pca``: two main axes; ``landmarks``: a sample is laid out, all others are placed near it;
+    ``umap``: the same, and then rounds over the neighbour graph of all points.
+    """
     rows = valid_embeddings(df)
     if method == "pca":
         return _plane(rows.select(F.col(key).alias("id"), "embedding")).withColumnRenamed("id", key)
-    if method != "umap":
+    if method not in ("umap", "landmarks"):
         raise ValueError(f"unknown method {method!r}")
 
     ordered = distinct_vectors(rows, COPIES_LISTED, key).sortWithinPartitions("rep")
     numbered = ordered.withColumn("id", F.monotonically_increasing_id())
     points = cut(numbered, "distinct-vectors")
-    flat = _plane(points.select("id", "embedding"))
-    extent = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))), F.count("*")).first()
-    scale, n = START_EXTENT / (extent[0] or 1.0), extent[1]
-    at = flat.select("id", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
-    if n > 2:
+    n = points.count()
+    known = landmark_table(points, n, n_neighbors, min_dist, seed, neighbours, landmarks)
+    at = place_near(points, known, n_neighbors) if known.num_rows else _plane(points.select("id", "embedding"))
+    if n > 2 and method == "umap":
         vectors = points.select(F.col("id").alias("rep"), "embedding")
         near = nearest_distinct(vectors, n, min(n_neighbors, n), neighbours)
-        at = optimise(fuzzy_graph(near, n_neighbors), at, n, min_dist, seed, **options)
+        leaves = with_leaves(points.select("id", "embedding"), bounded(n, block_points), 1, seed, key="id")
+        blocks = leaves.select("id", F.col("leaf")[0].alias("block"))
+        edges = fuzzy_graph(near, n_neighbors)
+        at = optimise(edges, cut(at, "start"), blocks, n, min_dist, seed, **options)
     named = points.select("id", F.col("rep").alias("src")).join(at, "id").drop("id")
     return spread_to_copies(rows, points.drop("id"), named, COPIES_LISTED, key)
+
+
+def place_new(new: DataFrame, placed: DataFrame, key: str = "arxiv_id", most: int = LANDMARKS, seed: int = SEED) -> DataFrame:
+    """(key, x, y) of new rows in a stored layout: no descent, and no stored place changes.
+
+    ``placed`` (key, embedding, x, y) are the stored rows; at most ``most`` of them, by a hash of
+    the key, serve as landmarks. Rows without a vector get no place.
+    """
+    stored = valid_embeddings(placed).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    some = hash_sample(stored.select(key, "embedding", "x", "y"), key, stored.count(), most, seed)
+    known = some.orderBy(key).select("embedding", "x", "y").toArrow()
+    if not known.num_rows:
+        raise ValueError("the stored layout has no places")
+    rows = valid_embeddings(new).select(F.col(key).alias("id"), "embedding")
+    return place_near(rows, known).withColumnRenamed("id", key)

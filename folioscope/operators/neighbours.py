@@ -4,10 +4,10 @@ Equal vectors are gathered first. Neighbours are sought among distinct vectors o
 distinct vector brings along the first ``k`` of its ids. This gives the same neighbours as
 comparing all rows, and a vector with millions of copies costs no more than any other.
 
-* exact: distinct vectors are cut into blocks of bounded size around pivots. A vector is compared
-  with its own block, and then with every block that the triangle inequality cannot rule out.
-* forest: distinct vectors are routed down random-projection trees that split at medians, so
-  leaves stay equally full whatever the data; neighbours are sought within leaves.
+* exact: distinct vectors are cut into blocks of bounded size, the leaves of a tree. A vector is
+  compared with its own block, and then with every block that its ball cannot rule out, on a grid.
+* forest: distinct vectors are routed down random-projection trees that split at medians until all
+  leaves fit, whatever the data and their number; neighbours are sought within leaves.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.arrays import matrix
 from folioscope.operators.filters import valid_embeddings
-from folioscope.operators.prepare import hash_sample
+from folioscope.operators.leaves import LEVELS, bounded, with_leaves
 from folioscope.session import cut
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
+TILE_ROWS = 16_384
 QUERY_ROWS = 512
 SLACK = 1e-9
 UNDEFINED = -2.0  # stands for the similarity of a zero vector while best ones are kept
@@ -75,7 +75,8 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _pairs_table(src: np.ndarray, dst: np.ndarray, distances: np.ndarray) -> pa.Table:
-    return pa.table({"src": pa.array(src), "dst": pa.array(dst), "distance": distances})
+    kind = pa.string() if src.dtype == object else pa.from_numpy_dtype(src.dtype)
+    return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind), "distance": distances})
 
 
 def distinct_vectors(df: DataFrame, k: int, key: str) -> DataFrame:
@@ -96,57 +97,18 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def exact_neighbours(
-    reps: DataFrame, n: int, k: int, block_rows: int = BLOCK_ROWS
+    reps: DataFrame, n: int, k: int, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
-    """(src, dst, distance) of the ``k`` nearest distinct vectors, itself included."""
+    """(src, dst, distance) of the ``k`` nearest distinct vectors, itself included.
+
+    Blocks are the leaves of one tree, so they are bounded and hold near vectors. Each is searched
+    by itself first, which gives every row a distance that its ``k``-th neighbour has at most. Blocks
+    are then dealt to groups, and groups meet on a grid: a row goes once to each tile of its group's
+    row, as a query, and once to each tile of its group's column, as a candidate. In a tile, blocks
+    whose ball is farther from a query than its distance so far are passed over.
+    """
     vectors, kind = reps.select("rep", "embedding"), _kind(reps)
-    if not n:
-        return vectors.sparkSession.createDataFrame([], _pairs(kind))
-    wanted = min(MAX_PIVOTS, math.ceil(n / block_rows))
-    chosen = hash_sample(vectors, "rep", n, wanted).select("embedding").toArrow()
-    if not chosen.num_rows:
-        chosen = vectors.limit(1).select("embedding").toArrow()
-    pivots = matrix(chosen["embedding"])
-
-    def to_pivots(x: np.ndarray) -> np.ndarray:
-        squares = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * x @ pivots.T
-        return np.sqrt(np.maximum(squares, 0.0))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                far = to_pivots(matrix(batch.column("embedding")))
-                cell = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell, pa.int32()), far[np.arange(len(cell)), cell]],
-                    [*batch.schema.names, "cell", "to_pivot"],
-                )
-
-    celled = cut(
-        vectors.mapInArrow(
-            assign, f"rep {kind}, embedding array<float>, cell int, to_pivot double"
-        ),
-        "cells",
-    )
-    sizes = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    splits = [max(1, math.ceil(sizes.get(c, 0) / block_rows)) for c in range(len(pivots))]
-    part = F.pmod(F.xxhash64("rep"), F.get(F.array(*map(F.lit, splits)), F.col("cell")))
-    blocked = celled.withColumn("block", F.col("cell").cast("long") * F.lit(1 << 32) + part)
-
-    # One row per block: n / block_rows rows in all.
-    stats = (
-        blocked.groupBy("block")
-        .agg(
-            F.first("cell").alias("cell"),
-            F.max("to_pivot").alias("outer"),
-            F.min("to_pivot").alias("inner"),
-        )
-        .collect()
-    )
-    block_ids = np.array([r["block"] for r in stats], dtype=np.int64)
-    cells = np.array([r["cell"] for r in stats])
-    outer = np.array([r["outer"] for r in stats])
-    inner = np.array([r["inner"] for r in stats])
+    placed = with_leaves(vectors, bounded(n, block_rows)).select("rep", "embedding", F.col("leaf")[0].alias("block"))
 
     def own(table: pa.Table) -> pa.Table:
         ids = _ids(table["rep"])
@@ -169,57 +131,47 @@ def exact_neighbours(
         )
 
     within = cut(
-        blocked.groupBy("block").applyInArrow(
+        placed.groupBy("block").applyInArrow(
             own,
             f"src {kind}, embedding array<float>, block long, reach double, "
             f"dst array<{kind}>, distance array<double>",
         ),
         "own-blocks",
     )
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            far = to_pivots(matrix(batch.column("embedding")))[:, cells]
-            reach = np.asarray(batch.column("reach"))[:, None] + SLACK
-            possible = (far - outer <= reach) & (inner - far <= reach)
-            possible &= np.asarray(batch.column("block"))[:, None] != block_ids
-            rows, targets = np.nonzero(possible)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("src").take(pa.array(rows)),
-                    batch.column("embedding").take(pa.array(rows)),
-                    batch.column("block").take(pa.array(rows)),
-                    pa.array(block_ids[targets]),
-                ],
-                ["src", "embedding", "block", "target"],
-            )
-
-    routed = cut(
-        within.select("src", "embedding", "block", "reach").mapInArrow(
-            route, f"src {kind}, embedding array<float>, block long, target long"
-        ),
-        "routes",
+    groups = max(1, math.ceil(n / bounded(n, tile_rows, 3)))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups))
+    meet = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")
+    queries = within.select(group.alias("row"), "src", "embedding", "block", "reach", meet)
+    candidates = within.select(
+        group.alias("column"), F.col("src").alias("rep"), "embedding", "block", meet
     )
-    # A group is one block of queries and one block of candidates, both of bounded size.
-    meetings = routed.select(F.col("block").alias("guest"), F.col("target").alias("host")).distinct()
-    hosts = blocked.select(F.col("block").alias("host"), "rep", "embedding")
-    candidates = hosts.join(meetings, "host")
 
     def across(queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        if not queries.num_rows or not corpus.num_rows:
-            return _pairs_table(_ids(queries["src"])[:0], _ids(queries["src"])[:0], np.zeros(0))
-        q_ids = _ids(queries["src"])
-        c_ids = _ids(corpus["rep"])
-        rows, cols, distances = closest(
-            matrix(queries["embedding"]), matrix(corpus["embedding"]), ranks(c_ids), k
-        )
-        return _pairs_table(q_ids[rows], c_ids[cols], distances)
+        none = _ids(queries["src"])[:0]
+        found = [(none, none, np.zeros(0))]
+        if queries.num_rows and corpus.num_rows:
+            q_ids, q, q_block = _ids(queries["src"]), matrix(queries["embedding"]), queries["block"].to_numpy()
+            c_ids, c, c_block = _ids(corpus["rep"]), matrix(corpus["embedding"]), corpus["block"].to_numpy()
+            order, reach = ranks(c_ids), queries["reach"].to_numpy().copy()
+            for block in np.unique(c_block):
+                here = np.flatnonzero(c_block == block)
+                centre = c[here].mean(axis=0)
+                radius = np.sqrt(((c[here] - centre) ** 2).sum(axis=1).max())
+                far = np.sqrt(((q - centre) ** 2).sum(axis=1))
+                asking = np.flatnonzero((far - radius <= reach + SLACK) & (q_block != block))
+                if not len(asking):
+                    continue
+                rows, cols, distances = closest(q[asking], c[here], order[here], k)
+                good = distances <= reach[asking[rows]] + SLACK
+                if len(here) >= k:
+                    np.maximum.at(tops := np.zeros(len(asking)), rows, distances)
+                    reach[asking] = np.minimum(reach[asking], tops)
+                found.append((q_ids[asking[rows[good]]], c_ids[here[cols[good]]], distances[good]))
+        return _pairs_table(*(np.concatenate(part) for part in zip(*found, strict=True)))
 
     met = (
-        routed.groupBy("block", "target")
-        .cogroup(candidates.groupBy("guest", "host"))
+        queries.groupBy("row", "other")
+        .cogroup(candidates.groupBy("other", "column"))
         .applyInArrow(across, _pairs(kind))
     )
     zipped = F.explode(F.arrays_zip("dst", "distance")).alias("e")
@@ -227,20 +179,6 @@ def exact_neighbours(
     return _best(home.unionByName(met), k)
 
 
-def _grow(sample: np.ndarray, depth: int, rng: np.random.Generator):
-    """Hyperplanes and thresholds of a complete tree that halves the sample at every node."""
-    nodes = 2**depth - 1
-    planes = rng.standard_normal((nodes, sample.shape[1]))
-    cuts = np.zeros(nodes)
-    place = np.zeros(len(sample), dtype=np.int64)
-    for node in range(nodes):
-        here = np.flatnonzero(place == node)
-        values = sample[here] @ planes[node]
-        cuts[node] = np.median(values) if len(values) else 0.0
-        place[here] = 2 * node + 1 + (values > cuts[node])
-    return planes, cuts
-
-
 def _leaves(vectors: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
     """Row numbers of equally full leaves of one random-projection tree."""
     stack = [np.arange(len(vectors))]
@@ -260,40 +198,17 @@ def forest_neighbours(
     k: int,
     trees: int = 12,
     leaf_rows: int = 1024,
-    task_rows: int = 20_000,
-    max_sample: int = 65_536,
+    task_rows: int = 4096,
+    levels: int = LEVELS,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate (src, dst, distance): nearest distinct vectors that share a tree leaf.
 
-    The upper levels of each tree are planned on a sample of bounded size and route every row in
-    one pass; each task then splits its share further, down to ``leaf_rows``. Every row is in a
-    leaf of every tree. A share that is still larger than planned is divided by hash.
+    Every row is in a leaf of every tree, and no leaf has more than ``task_rows`` rows at any ``n``;
+    a task splits its leaf further, down to ``leaf_rows``.
     """
     vectors, kind = reps.select("rep", "embedding"), _kind(reps)
-    depth = max(0, math.ceil(math.log2(max(1.0, n / task_rows))))
-    depth = min(depth, int(math.log2(max_sample)) - 3)
-    grown = []
-    if depth:
-        chosen = hash_sample(vectors, "rep", n, min(max_sample, 64 << depth), seed)
-        sample = matrix(chosen.select("embedding").toArrow()["embedding"])
-        grown = [_grow(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)]
-    spread = max(1, math.ceil(n / 2**depth / (2 * task_rows)))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("embedding"))
-            for tree in range(trees):
-                place = np.zeros(batch.num_rows, dtype=np.int64)
-                for _ in range(depth):
-                    planes, cuts = grown[tree]
-                    side = np.einsum("ij,ij->i", x, planes[place]) > cuts[place]
-                    place = 2 * place + 1 + side
-                number = pa.array(np.full(batch.num_rows, tree), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, number, pa.array(place)],
-                    ["rep", "embedding", "tree", "leaf"],
-                )
+    placed = with_leaves(vectors, bounded(n, task_rows, 2, leaf_rows), trees, seed, levels)
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
         ids = _ids(table["rep"])
@@ -308,11 +223,8 @@ def forest_neighbours(
         src, dst, distances = (np.concatenate(c) for c in zip(*found, strict=True))
         return _pairs_table(ids[src], ids[dst], distances)
 
-    routed = vectors.mapInArrow(
-        route, f"rep {kind}, embedding array<float>, tree int, leaf long"
-    )
-    share = F.pmod(F.xxhash64("rep", "tree"), F.lit(spread)).alias("share")
-    pairs = routed.groupBy("tree", "leaf", share).applyInArrow(within, _pairs(kind))
+    routed = placed.select("rep", "embedding", F.posexplode("leaf").alias("tree", "leaf"))
+    pairs = routed.groupBy("tree", "leaf").applyInArrow(within, _pairs(kind))
     # Both the grouping and the ranking below keep to this one shuffle.
     met = pairs.repartition("src").groupBy("src", "dst").agg(F.min("distance").alias("distance"))
     return _best(met, k)
@@ -381,26 +293,49 @@ def search_batch(
     k: int,
     query_key: str = "query_id",
     key: str = "arxiv_id",
-    chunk_rows: int = 4096,
+    query_rows: int = 4096,
+    paper_rows: int = 65_536,
 ) -> DataFrame:
     """(query, paper, similarity): the ``k`` most similar papers of each query, by cosine.
 
-    Queries are handed out in chunks of at most ``chunk_rows``; each chunk is one pass over the
-    papers in which a task keeps its best ``k`` per query.
+    Queries and papers are dealt to tiles by hash, and a join brings each tile of queries together
+    with each tile of papers; such a group is bounded on both sides and keeps its ``k`` best of each
+    query, which a window merges. Papers are read once, and sent once for each tile of queries.
+    Nothing but two counts reaches the driver. A zero vector has no direction: its similarity is
+    null and comes last.
     """
-    n = queries.count()
-    chunks = max(1, math.ceil(n / chunk_rows))
-    numbered = queries.select(F.col(query_key).cast("string").alias(query_key), "embedding")
-    parts = []
-    for chunk in range(chunks):
-        mine = numbered.where(F.pmod(F.xxhash64(query_key), F.lit(chunks)) == chunk).collect()
-        if mine:
-            parts.append(_search_chunk(mine, papers, k, query_key, key))
-    if not parts:
-        parts = [_search_chunk([], papers, k, query_key, key)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked = valid_embeddings(queries).select(F.col(query_key).cast("string").alias("q"), F.col("embedding").alias("qv"))
+    rows = valid_embeddings(papers).select(F.col(key).cast("string").alias("p"), F.col("embedding").alias("pv"))
+    n = papers.count()
+    query_tiles = max(1, math.ceil(queries.count() / query_rows))
+    paper_tiles = max(1, math.ceil(n / bounded(n, paper_rows)))
+
+    def tile(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = asked.select("q", "qv", tile("q", query_tiles).alias("a"), every(paper_tiles).alias("b"))
+    right = rows.select("p", "pv", every(query_tiles).alias("a"), tile("p", paper_tiles).alias("b"))
+
+    def best(few: pa.Table, many: pa.Table) -> pa.Table:
+        names, ids = (np.asarray(t[c], dtype=object) for t, c in ((few, "q"), (many, "p")))
+        found = (np.zeros(0, dtype=int), ids[:0], np.zeros(0))
+        if len(names) and len(ids):
+            q, x = (_unit(matrix(t[c])) for t, c in ((few, "qv"), (many, "pv")))
+            found = _candidates(q, x, ids, k)
+        rows, ids, scores = found
+        return pa.table(
+            {
+                query_key: pa.array(names[rows], pa.string()),
+                key: pa.array(ids, pa.string()),
+                "similarity": pa.array(scores, pa.float64(), mask=scores <= UNDEFINED),
+            }
+        )
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    found = met.applyInArrow(best, f"{query_key} string, {key} string, similarity double")
     window = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
     return (
         found.withColumn("rank", F.row_number().over(window))
@@ -409,33 +344,8 @@ def search_batch(
     )
 
 
-def _search_chunk(mine: list, papers: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
-    names = np.array([row[query_key] for row in mine], dtype=object)
-    q = np.array([row["embedding"] for row in mine], dtype=np.float64)
-    if len(q):
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), np.finfo(float).tiny)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = (np.zeros(0, dtype=int), np.zeros(0, dtype=object), np.zeros(0))
-        for batch in batches:
-            if batch.num_rows and len(names):
-                x = matrix(batch.column(1))
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
-                own = np.asarray(batch.column(0), dtype=object)
-                # A zero vector has no direction: its similarity is null and comes last.
-                best = _keep_best(best, _candidates(q, x, own, k), k)
-        rows, ids, scores = best
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names[rows], pa.string()),
-                pa.array(ids, pa.string()),
-                pa.array(scores, mask=scores <= UNDEFINED),
-            ],
-            [query_key, key, "similarity"],
-        )
-
-    rows = valid_embeddings(papers).select(F.col(key).cast("string").alias(key), "embedding")
-    return rows.mapInArrow(run, f"{query_key} string, {key} string, similarity double")
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
 
 
 _Scored = tuple[np.ndarray, np.ndarray, np.ndarray]

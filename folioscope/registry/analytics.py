@@ -1,5 +1,6 @@
 """Search, statistics, neighbours, layouts, topics and the jobs made of them."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
@@ -97,6 +98,28 @@ def _(spark, sf):
     return edges.withColumn("distance", F.round("distance", 4))
 
 
+@query(
+    "forest_properties",
+    """SELECT count(*) AS n_papers, 15 * count(*) AS n_edges, true AS own_first, true AS ascending,
+    true AS recall_95 FROM current_ WHERE embedding IS NOT NULL""",
+)
+def _(spark, sf):
+    """What must hold for the approximate graph next to the exact one, with three passes forced."""
+    rows = B.current(spark, sf).select("arxiv_id", "embedding")
+    forest = cut(neighbours.knn_graph(rows, task_rows=128, leaf_rows=128, trees=24, levels=1), "edges")
+    exact = neighbours.knn_graph(rows, method="exact", block_rows=128)
+    by_rank = Window.partitionBy("src").orderBy("rank")
+    met = forest.withColumn("last", F.lag("distance", 1, 0.0).over(by_rank)).join(
+        exact.select("src", "dst", F.col("rank").alias("true_rank")), ["src", "dst"], "left"
+    )
+    return met.agg(
+        F.count_distinct("src").alias("n_papers"), F.count("*").alias("n_edges"),
+        F.bool_and((F.col("rank") > 1) | (F.col("src") == F.col("dst"))).alias("own_first"),
+        F.bool_and(F.col("distance") >= F.col("last")).alias("ascending"),
+        (F.count("true_rank") >= 0.95 * F.count("*")).alias("recall_95"),
+    )
+
+
 @query(
     "stats_top_subjects",
     """SELECT primary_subject, count(*) AS n_papers FROM current_ GROUP BY primary_subject
@@ -313,6 +336,55 @@ def _(spark, sf):
     return layout.layout(B.current(spark, sf))
 
 
+@query("layout_landmarks")
+def _(spark, sf):
+    """A sample is laid out, all other papers are placed near it in one pass."""
+    return layout.layout(B.current(spark, sf), "landmarks")
+
+
+_LAYOUTS = ("landmarks", "umap")
+
+
+@query(
+    "layout_properties",
+    """SELECT m.method, count(*) AS n_papers, true AS finite, true AS copies_together, true AS neighbours_near
+    FROM current_ CROSS JOIN (VALUES ('landmarks'), ('umap'), ('placed later')) m(method)
+    WHERE embedding IS NOT NULL GROUP BY m.method""",
+)
+def _(spark, sf):
+    """What must hold for places: one a paper, finite, the same for equal vectors, near for near vectors.
+
+    Neighbours are near if they are closer in the plane, on average, than papers next to each other by id.
+    """
+    rows = B.current(spark, sf).where("embedding IS NOT NULL").select("arxiv_id", "embedding")
+    edges = cut(neighbours.knn_graph(rows).where("rank > 1").select("src", "dst"), "edges")
+    copies = Window.partitionBy("embedding")
+    found = []
+    for method in (*_LAYOUTS, "placed later"):
+        if method == "placed later":
+            at = layout.place_new(rows, stored)
+        else:
+            at = cut(layout.layout(rows, method), "places")
+            stored = rows.join(at, "arxiv_id")
+        by_id = Window.partitionBy(F.substring("arxiv_id", 1, 8)).orderBy("arxiv_id")
+        ends = [at.select(F.col("arxiv_id").alias(e), F.struct("x", "y").alias(f"at_{e}")) for e in ("src", "dst")]
+        gap = F.hypot(F.col("at_src.x") - F.col("at_dst.x"), F.col("at_src.y") - F.col("at_dst.y"))
+        near = edges.join(ends[0], "src").join(ends[1], "dst").agg(F.avg(gap).alias("near"))
+        any_two = F.hypot(F.col("x") - F.lag("x").over(by_id), F.col("y") - F.lag("y").over(by_id))
+        together = rows.join(at, "arxiv_id").select(
+            "x", "y", (F.max("x").over(copies) == F.min("x").over(copies)).alias("same"), any_two.alias("any")
+        )
+        counted = together.agg(
+            F.lit(method).alias("method"), F.count("*").alias("n_papers"),
+            F.bool_and(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") + F.abs("y") < 1e9)).alias("finite"),
+            F.bool_and("same").alias("copies_together"), F.avg("any").alias("any"),
+        )
+        # Two tables of one row each.
+        joined = counted.join(near, F.lit(True)).withColumn("neighbours_near", F.col("near") < F.col("any"))
+        found.append(joined.select("method", "n_papers", "finite", "copies_together", "neighbours_near"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("layout_documents")
 def _(spark, sf):
     """Places of all papers that have a text, by the vectors of the whole texts."""

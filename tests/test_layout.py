@@ -105,3 +105,51 @@ def test_fuzzy_graph_unites_both_directions(spark):
     assert all(w[a, b] == pytest.approx(w[b, a]) for a, b in w)
     assert w[1, 2] == pytest.approx(1.0)
     assert all(0 < v <= 1 for v in w.values())
+
+
+def test_steps_and_blocks_do_not_depend_on_a_size_switch(papers, monkeypatch):
+    seen = []
+    whole = L.optimise
+
+    def spied(edges, start, blocks, n, *rest, **options):
+        seen.append((n, blocks.select("block").distinct().count(), blocks.groupBy("block").count().agg(F.max("count")).first()[0]))
+        return whole(edges, start, blocks, n, *rest, **options)
+
+    monkeypatch.setattr(L, "optimise", spied)
+    L.layout(papers)
+    # Landmarks are one block of bounded size, all points are several.
+    assert seen[0][:2] == (125, 1) and seen[1][0] == 500 and seen[1][1] >= 8 and seen[1][2] <= 63
+
+
+def test_most_edges_stay_inside_blocks(papers):
+    points = papers.select(F.xxhash64("arxiv_id").alias("id"), "embedding")
+    blocks = L.with_leaves(points, 63, key="id").select("id", F.col("leaf")[0].alias("block"))
+    edges = L.nearest_distinct(points.withColumnRenamed("id", "rep"), 500, 15)
+    own = blocks.select(F.col("id").alias("src"), F.col("block").alias("a"))
+    other = blocks.select(F.col("id").alias("dst"), F.col("block").alias("b"))
+    inside = edges.join(own, "src").join(other, "dst").agg(F.avg((F.col("a") == F.col("b")).cast("int"))).first()[0]
+    assert inside > 0.5
+
+
+def test_landmarks_place_all_points_in_one_pass(papers, places):
+    placed = L.layout(papers, "landmarks")
+    assert placed.count() == 500
+    assert trustworthiness(papers, placed) > 0.9
+    assert trustworthiness(papers, placed) > trustworthiness(papers, places) - 0.08
+
+
+def test_new_rows_in_a_stored_layout(spark, papers, places):
+    stored = papers.join(places, "arxiv_id")
+    new = papers.where("substring(arxiv_id, 2, 4) < '0040'").select(F.concat(F.lit("new"), "arxiv_id").alias("arxiv_id"), "embedding")
+    moved = new.select("arxiv_id", F.transform("embedding", lambda v: v + F.lit(0.01)).cast("array<float>").alias("embedding"))
+    none = spark.createDataFrame([("without", None)], moved.schema)
+    at = {r["arxiv_id"]: (r["x"], r["y"]) for r in L.place_new(new.union(none), stored).collect()}
+    assert at == {f"new{r['arxiv_id']}": (r["x"], r["y"]) for r in places.collect() if f"new{r['arxiv_id']}" in at} and len(at) == 40
+    near = L.place_new(moved, stored).withColumnRenamed("arxiv_id", "n")
+    # A twentieth of the layout's extent.
+    far = stored.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    met = near.join(places.withColumn("n", F.concat(F.lit("new"), "arxiv_id")).select("n", F.col("x").alias("u"), F.col("y").alias("v")), "n")
+    gaps = [r[0] for r in met.select(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v"))).collect()]
+    assert sorted(gaps)[30] < far / 20
+    with pytest.raises(ValueError):
+        L.place_new(new, stored.limit(0))

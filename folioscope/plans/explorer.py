@@ -165,8 +165,8 @@ class Explorer:
         year_months: Sequence[str] | None = None,
         categories: Sequence[str] | None = None,
         min_documents: int = topics.MIN_DOCUMENTS,
-    ) -> tuple[DataFrame, DataFrame]:
-        """Topic terms and assignments, stored ones where the same papers were asked for before."""
+    ) -> topics.TopicResult:
+        """Terms, assignments and record, stored ones where the same papers were asked for before."""
         papers = filter_papers(self.dataset(), year_months, categories)
         n_valid = valid_embeddings(papers).count()
         if n_valid < n_components + 1:
@@ -183,8 +183,9 @@ class Explorer:
         if stored is not None:
             if reuse.topics_cache_valid(request, stored).first()["is_valid"]:
                 return topics.load_topics(self.spark, root, key)
-        found = topics.extract_topics(papers, n_components, min_documents=min_documents)
-        topics.save_topics(*found, root, key)
+        state = f"{root}/passes/key={key}"
+        found = topics.extract_topics(papers, n_components, min_documents=min_documents, state=state, key=key)
+        topics.save_topics(found, root, key)
         snapshots.publish(request, known)
         return topics.load_topics(self.spark, root, key)
 

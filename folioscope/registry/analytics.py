@@ -323,7 +323,38 @@ def _(spark, sf):
 @query("topic_terms")
 def _(spark, sf):
     rows = B.current(spark, sf).select("arxiv_id", "title", "abstract", "embedding")
-    return topics.extract_topics(rows, 10)[0]
+    return topics.extract_topics(rows, 10).topics
+
+
+@query(
+    "topic_properties",
+    """SELECT m.method, cast(t.i AS int) AS topic_id, 10 AS n_terms, true AS by_weight, n AS all_documents,
+    true AS dominant_is_strongest
+    FROM range(0, 10) t(i) CROSS JOIN (VALUES ('documents'), ('model')) m(method)
+    CROSS JOIN (SELECT count(embedding) AS n FROM current_) c""",
+)
+def _(spark, sf):
+    """What must hold for fitted topics, with terms weighed by documents and by the model's vectors."""
+    rows = B.current(spark, sf).select("arxiv_id", "title", "abstract", "embedding")
+    found, by_rank, all_topics = [], Window.partitionBy("topic_id").orderBy("rank"), Window.partitionBy()
+    for method, model in (("documents", None), ("model", HashedWords(64))):
+        result = topics.extract_topics(rows, 10, embedder=model)
+        lists = result.topics.withColumn("before", F.lag("weight", 1, float("inf")).over(by_rank))
+        by_topic = lists.groupBy("topic_id").agg(
+            F.count("term").cast("int").alias("n_terms"), F.bool_and(F.col("weight") <= F.col("before")).alias("by_weight"),
+            F.max("doc_count").alias("n"),
+        )
+        # Ten rows, one a topic.
+        totals = by_topic.withColumn("all_documents", F.sum("n").over(all_topics)).drop("n")
+        strongest = V.dominant_topic("topic_weights") == F.col("dominant_topic")
+        kept = result.assignments.groupBy(F.col("dominant_topic").alias("topic_id")).agg(
+            F.bool_and(strongest).alias("dominant_is_strongest")
+        )
+        found.append(totals.join(kept, "topic_id", "left").select(
+            F.lit(method).alias("method"), "topic_id", "n_terms", "by_weight", "all_documents",
+            F.coalesce("dominant_is_strongest", F.lit(True)).alias("dominant_is_strongest"),
+        ))
+    return found[0].unionByName(found[1])
 
 
 @query("layout_pca")

@@ -165,10 +165,23 @@ def _(spark, sf):
 def _(spark, sf):
     rows = B.weighed(spark, sf)
     root = new_path(spark, "topics")
-    terms = topics.topic_terms(rows, 5)
-    topics.save_topics(terms, topics.assign_topics(rows), root, "head")
-    _, assignments = topics.load_topics(spark, root, "head")
-    return assignments.select("arxiv_id", "dominant_topic")
+    record = rows.agg(F.count("*").alias("paper_count"))
+    result = topics.TopicResult(topics.topic_terms(rows, 5), topics.assign_topics(rows), record)
+    topics.save_topics(result, root, "head")
+    return topics.load_topics(spark, root, "head").assignments.select("arxiv_id", "dominant_topic")
+
+
+@query(
+    "topic_record",
+    """SELECT 'all' AS cache_key, 10 AS n_components, count(*) AS paper_count,
+    count(embedding) AS valid_embedding_count, true AS converged FROM current_""",
+)
+def _(spark, sf):
+    """What is stored about fitted topics, read back."""
+    rows = B.current(spark, sf).select("arxiv_id", "title", "abstract", "embedding")
+    root = new_path(spark, "topics")
+    topics.save_topics(topics.extract_topics(rows, 10, key="all"), root, "all")
+    return topics.load_topics(spark, root, "all").record.drop("passes")
 
 
 @query("partition_manifest", "SELECT subject, year, month, n_rows, true AS has_files FROM manifest")

@@ -78,7 +78,8 @@ def test_views_of_the_dataset(explorer):
 
 
 def test_topics_are_stored(spark, explorer):
-    terms, assignments = explorer.extract_topics(3, min_documents=2)
+    terms, assignments, record = explorer.extract_topics(3, min_documents=2)
+    assert record.first()["converged"]
     assert {r["topic_id"] for r in terms.collect()} == {0, 1, 2}
     valid = explorer.topics_status().first()["valid_embedding_count"]
     assert assignments.count() == valid

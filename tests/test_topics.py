@@ -71,7 +71,7 @@ def test_too_few_rows(spark, papers):
 
 
 def test_terms_and_counts(papers):
-    terms, assignments = T.extract_topics(papers, 3)
+    terms, assignments, record = T.extract_topics(papers, 3)
     rows = terms.collect()
     assert sorted((r["topic_id"], r["rank"]) for r in rows)[0] == (0, 1)
     tops = {r["topic_id"]: r["term"] for r in rows if r["rank"] == 1}
@@ -88,8 +88,10 @@ def test_rare_terms_are_left_out(weighed):
 def test_save_and_load(spark, weighed):
     root = new_path(spark, "saved-topics")
     assert T.load_topics(spark, root, "k") is None
-    T.save_topics(T.topic_terms(weighed, 3), T.assign_topics(weighed), root, "k")
-    terms, assignments = T.load_topics(spark, root, "k")
+    stored = T.TopicResult(T.topic_terms(weighed, 3), T.assign_topics(weighed), weighed.groupBy().count())
+    T.save_topics(stored, root, "k")
+    terms, assignments, record = T.load_topics(spark, root, "k")
+    assert record.first()[0] == weighed.count()
     assert assignments.count() == 2000
     assert terms.where(F.col("rank") == 1).count() == 3
 
@@ -107,3 +109,44 @@ def test_topics_without_terms_keep_their_count(spark, papers):
     rows = T.topic_terms(texts, 3, min_documents=10**6).collect()
     assert sorted(r["topic_id"] for r in rows) == [0, 1, 2] and all(r["term"] is None for r in rows)
     assert sum(r["doc_count"] for r in rows) == weighed.count()
+
+
+def test_a_later_call_goes_on_where_the_last_one_stopped(spark, papers):
+    state = new_path(spark, "passes")
+    options = {"tolerance": 1e-12, "table_passes": 2, "max_passes": 1, "state": state}
+    first, second = T.fit(papers, 3, **options), T.fit(papers, 3, **options)
+    assert (first.passes, second.passes) == (2, 4) and second.change < first.change and not first.converged
+    done = T.fit_to_rest(papers, 3, state, table_passes=2, max_passes=1)
+    assert done.converged and done.passes >= 4
+    # Other vectors do not go on from there.
+    other = T.fit(papers.where("arxiv_id < 'p1000'"), 3, table_passes=1, state=state)
+    assert other.passes <= 1
+
+
+def test_topics_that_do_not_rest_are_an_error(spark, papers):
+    with pytest.raises(T.NotAtRest):
+        T.fit_to_rest(papers, 3, new_path(spark, "passes"), calls=2, table_passes=1, max_passes=1, tolerance=1e-15)
+
+
+def test_record_of_a_result(papers):
+    record = T.extract_topics(papers, 3, key="asked").record.first()
+    assert (record["cache_key"], record["n_components"], record["converged"]) == ("asked", 3, True)
+    assert (record["paper_count"], record["valid_embedding_count"]) == (2001, 2000)
+
+
+def test_terms_by_the_vectors_of_the_model(spark, papers):
+    from folioscope.operators.embedding import HashedWords
+
+    def model(texts):
+        vectors = HashedWords(8)(texts)
+        return vectors
+
+    components = T.fit(papers, 3)
+    weighed = T.topic_weights(papers, components)
+    found = {(r["topic_id"], r["term"]): r["weight"] for r in T.model_term_weights(weighed, components, model).collect()}
+    terms = sorted({t for _, t in found})
+    want = (HashedWords(8)(pd.Series(terms)) - components.mean) @ components.unmixing.T
+    for j, term in enumerate(terms):
+        assert [found[i, term] for i in range(3)] == pytest.approx(want[j].tolist(), abs=2e-6)
+    listed = T.topic_terms(weighed, 3, 4, model=(components, model))
+    assert listed.groupBy("topic_id").count().where("count = 4").count() == 3

@@ -49,6 +49,36 @@ class HashedWords:
         return sums / np.where(lengths == 0, 1.0, lengths)
 
 
+_loaded: dict[str, Embedder] = {}
+
+
+class LoadedModel:
+    """A model that every Python process builds once, on its first text, and that has a name.
+
+    Only ``name`` and ``factory`` travel to the workers. Vectors of models with different names are
+    not comparable; the name is stored with them and decides whether they must be made again.
+    """
+
+    def __init__(self, name: str, factory: Callable[[], Embedder]):
+        self.name, self.factory = name, factory
+
+    def __call__(self, texts: pd.Series) -> np.ndarray:
+        if self.name not in _loaded:
+            _loaded.clear()  # one model at a time
+            _loaded[self.name] = self.factory()
+        return _loaded[self.name](texts)
+
+
+def model_name(embedder: Embedder) -> str:
+    """The name of a model; for one without, its class and what it was made with."""
+    named = getattr(embedder, "name", None)
+    if named:
+        return str(named)
+    settings = sorted(vars(embedder).items()) if hasattr(embedder, "__dict__") else []
+    kind = getattr(embedder, "__qualname__", type(embedder).__qualname__)
+    return kind + "".join(f" {k}={v}" for k, v in settings if isinstance(v, (int, float, str)))
+
+
 def embed(
     df: DataFrame,
     embedder: Embedder,

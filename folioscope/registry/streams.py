@@ -55,6 +55,17 @@ def _(spark, sf):
     return rows.select("arxiv_id", "title", "primary_subject")
 
 
+@query("stream_land_new", "SELECT arxiv_id, title, primary_subject FROM papers")
+def _(spark, sf):
+    """Every paper arrives twice, some of them in a later run."""
+    staging, path = _staging(spark, sf, twice=True), new_path(spark, "deduped")
+    ids, checkpoint = new_path(spark, "ids"), new_path(spark, "checkpoint")
+    for _ in range(2):
+        jobs.stream_land_new(jobs.read_staging(spark, staging, 3), path, ids, checkpoint).awaitTermination()
+        B.papers(spark, sf).where("length(title) > 90").write.mode("append").parquet(staging)
+    return spark.read.schema(RAW_PAPER).parquet(path).select("arxiv_id", "title", "primary_subject")
+
+
 @query(
     "stream_stats",
     "SELECT primary_subject, count(*) AS n_papers FROM papers GROUP BY primary_subject",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,8 +72,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; inside ``scratch``, in its folder."""
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/folioscope"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder for all that ``cut`` writes inside; it is removed when the last user leaves.
+
+    Results that are still to be read from it must be written elsewhere before. A scope inside
+    another one uses that one's folder, so what it returns can be read there. The folder goes through
+    the Hadoop file system, also when the work inside fails.
+    """
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/folioscope/run-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.pop()
+        if not _scratch:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

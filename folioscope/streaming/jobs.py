@@ -10,14 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.operators.embedding import Embedder, embed_papers
+from folioscope.operators.embedding import Embedder, embed_papers, model_name
 from folioscope.operators.prepare import prepare
-from folioscope.plans.incremental import write_embeddings
+from folioscope.plans.incremental import record_models, write_embeddings
 from folioscope.schemas import KEYS, RAW_PAPER
-from folioscope.sources.corpus import read_corpus, scan_partitions, with_year_month
+from folioscope.sources.corpus import path_exists, read_corpus, scan_partitions, with_year_month
 from folioscope.sources.snapshots import publish
 
 
@@ -55,6 +56,7 @@ def stream_embed(
         touched = prepare(batch).select(*KEYS).distinct()
         papers = scan_partitions(read_corpus(spark, landed_path), touched)
         write_embeddings(embed_papers(papers, embedder), embedded_path)
+        record_models(touched, embedded_path, model_name(embedder))
 
     return (
         staged.writeStream.foreachBatch(write)
@@ -130,3 +132,41 @@ def stream_stats(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_land_new(
+    staged: DataFrame, path: str, ids_path: str, checkpoint: str, key: str = "arxiv_id", buckets: int = 64
+) -> StreamingQuery:
+    """Append papers whose id was not seen before, without any state in the stream.
+
+    The ids seen so far are a table of their own, in ``buckets`` by hash; each batch reads the
+    buckets that its ids fall into, and meets them with an anti join. What a batch writes goes to a
+    folder of its number, so a batch that is repeated writes the same rows again and no more. Null
+    ids count as one id.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        first = batch.dropDuplicates([key])
+        rows = first.select("*", bucket)
+        if path_exists(spark, ids_path):
+            kind = first.schema[key].dataType.simpleString()
+            seen = spark.read.schema(f"{key} {kind}, bucket int, batch long").parquet(ids_path)
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+            seen = seen.where(F.col("bucket").isin(touched) & (F.col("batch") < number)).select(
+                F.col(key).alias("seen_id"), F.col("bucket").alias("seen_bucket")
+            )
+            same = (F.col("bucket") == F.col("seen_bucket")) & F.col(key).eqNullSafe(F.col("seen_id"))
+            rows = rows.join(seen, same, "left_anti")
+        new = rows.persist()
+        new.drop("bucket").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new.select(key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ids_path}/batch={number}")
+        new.unpersist()
+
+    return (
+        staged.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -24,3 +24,16 @@ def test_stages(spark, small):
 def test_run_gives_the_packed_pieces(spark, small):
     rows = corpus_pipeline.run(spark, small)
     assert rows.columns[:2] == ["doc_id", "start"] and rows.count() > 0
+
+
+def test_run_leaves_nothing_behind_in_a_scratch_folder(spark, small):
+    from pathlib import Path
+
+    from folioscope.session import new_path, scratch, shared_dir
+
+    out = new_path(spark, "packed")
+    before = set(Path(shared_dir(spark)).glob("folioscope/*"))
+    with scratch(spark):
+        corpus_pipeline.run(spark, small).write.parquet(out)
+    assert {p.name for p in set(Path(shared_dir(spark)).glob("folioscope/*")) - before} == {Path(out).name}
+    assert spark.read.parquet(out).count() > 0

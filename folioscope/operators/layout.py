@@ -231,12 +231,12 @@ def optimise(
     the points it moved; the driver sees ``SKY_POINTS`` positions or so.
     """
     edges = cut(edges, "edges")
-    hubs = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_EDGES)
     own = blocks.select(F.col("id").alias("src"), F.col("block").alias("own"))
     other = blocks.select(F.col("id").alias("dst"), F.col("block").alias("other"))
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     homed = edges.join(own, "src").withColumnRenamed("own", "block")
-    if not hubs.isEmpty():
+    hubs = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_EDGES)
+    if rounds > 1 and not hubs.isEmpty():  # one round is one block
         block = F.when(F.col("degree").isNull(), F.col("block")).otherwise(F.col("other"))
         homed = homed.join(hubs, "src", "left").join(other, "dst").withColumn("block", block)
     placed = (

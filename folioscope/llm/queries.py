@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(lean_batches(ship_package(spark)), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(ship_package(spark), sf_dir)
         return fn
 
     return register
@@ -61,12 +61,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.link(documents(lean_batches(spark), sf_dir), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_ngram_jaccard_links")
 def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(documents(spark, sf_dir), words=4, percent=85).select("doc_id", "n_links")
+    return jaccard_join.link(documents(lean_batches(spark), sf_dir), words=4, percent=85).select("doc_id", "n_links")
 
 
 @query("op4_toxicity")

@@ -1,14 +1,22 @@
 """Secret scans, with built-in functions only.
 
-Patterns give the base spans. Beside them, long runs of code characters go through a battery of
-tests for randomness, each for the alphabet of the inferred encoding: chi-squared for uniform use of
-the alphabet, the number of runs above and below the median, and the serial correlation of
-neighbours. A run is a candidate only if it is so long that the chi-squared test would have found
-ordinary writing out. Over all candidates of about the same length, those whose randomness is
-rejected by the Benjamini-Hochberg procedure are dropped; the others are secrets. So of the dropped
-ones the expected share of random keys stays below RATE for short and long runs alike.
-
-Positions are code points, the end exclusive. A null text counts as empty.
+Patterns give the base spans. Beside them, long runs of code characters are judged by two questions.
+
+*Is it ordinary writing?* The null hypothesis is the corpus' own writing: transitions between the
+symbols of its shorter words, where a change of case, a digit after a letter and a separator end one
+word and begin the next. A run is random if it is much likelier as random symbols of its inferred
+encoding. The likelihood ratio is at most 1 on average under the null, so its inverse is a p-value
+(Markov's inequality). A random run is the discovery: Benjamini-Hochberg over all runs of about the
+same length keeps the expected share of ordinary writing among the discoveries below RATE, for short
+and long runs alike.
+
+*Does it look like random symbols of that encoding?* What follows an order of its own (alphabets,
+counters, repeated parts) is no ordinary writing either. A battery of chi-squared for uniform use of
+the alphabet, runs above and below the median, and serial correlation, each for the alphabet of the
+inferred encoding, must not reject randomness at LEVEL. UUIDs and numbers name things and are no keys.
+
+Positions are code points, the end exclusive. A null text counts as empty. On a corpus without
+shorter words nothing is known of its writing, and no random run is found.
 """
 
 from __future__ import annotations
@@ -21,11 +29,12 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut
 
-RATE = 0.05
-BINS_PER_DECADE, LAST_BIN = 20, 400  # of p-values; their number bounds what the driver sees
-LEAST = 24  # characters of a candidate at least, if its alphabet has few symbols
-TEXT_REPEAT = 0.066  # chance that two letters of ordinary writing are the same
-POWER = 1.645 + 2.326  # normal quantiles of 5 % errors and 99 % power
+RATE = 0.05  # expected share of ordinary writing among the random runs that are reported
+LEVEL = 0.005  # of the battery: share of random runs that it rejects
+BINS_PER_DECADE, LAST_BIN = 20, 600  # of p-values; their number bounds what the driver sees
+LEAST = 14  # characters of a run that is tested; shorter words teach what ordinary writing is
+KINDS_ONLY = 0.3  # share of the model that knows only whether symbols are capitals, small letters or digits
+PRIOR = 20.0  # transitions from each symbol that are added, spread as the model of kinds says
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = (
@@ -48,16 +57,12 @@ ENCODINGS = (
 )
 
 
-def least_length(alphabet: int) -> int:
-    """Length from which on the chi-squared test tells ordinary writing from random symbols."""
-    excess = alphabet * TEXT_REPEAT - 1
-    if excess <= 0.1:  # few symbols: writing does not fit into the alphabet anyway
-        return LEAST
-    return math.ceil(POWER * math.sqrt(2 * (alphabet - 1)) / excess)
-
-
-# Runs from the shortest of these lengths on; the battery infers which one holds.
-RUN = f"[A-Za-z0-9+/_-]{{{min(least_length(m) for _, _, m in ENCODINGS)},}}"
+RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
+NO_KEY = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|^[^a-z]+$"  # UUIDs, numbers
+WORD = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9]{{1,{LEAST - 1}}}(?![A-Za-z0-9+/_-])"
+# Where a word ends and another begins: before a capital, and between letters and digits.
+CHANGE = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+SYMBOLS = " 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"  # a space between words
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -175,6 +180,54 @@ def battery(run: Column) -> Column:
     return F.struct(name.alias("encoding"), size.cast("int").alias("alphabet"), F.least(p, F.lit(1.0)).alias("p"))
 
 
+def _pairs(word: Column) -> Column:
+    """Pairs of neighbouring symbols of a word or run, with a space before, behind and at each change."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(word, CHANGE, " "), "[+/_-]+", " "), F.lit(" "))
+    return _let(spaced, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: s.substr(i, F.lit(2))))
+
+
+def writing(texts: DataFrame) -> list[float]:
+    """Log-probability of each symbol after each other one, in the words shorter than LEAST of all texts.
+
+    Words are counted where they lie before they are shuffled; the driver gets one row for a pair of symbols.
+    """
+    words = texts.select(F.explode(_matches(F.col("text"), WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = words.select(F.explode(_pairs(F.col("word"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    size = len(SYMBOLS)
+    counts = [[0.0] * size for _ in SYMBOLS]
+    for row in pairs.collect():
+        counts[SYMBOLS.index(row["pair"][0])][SYMBOLS.index(row["pair"][1])] = float(row["n"])
+    if not any(map(sum, counts)):
+        return []
+    kinds = [" 0Aa".index("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else " ") for c in SYMBOLS]
+    many = [kinds.count(k) for k in range(4)]
+    steps = [[1.0] * 4 for _ in range(4)]  # between kinds of symbols
+    for a, row in zip(kinds, counts, strict=True):
+        for b, n in zip(kinds, row, strict=True):
+            steps[a][b] += n
+    # Words may begin with any kind where they are run together.
+    steps[0] = [(x / sum(steps[0]) + 1 / 3) / 2 if k else 0.0 for k, x in enumerate(steps[0])]
+    out = []
+    for a, row in zip(kinds, counts, strict=True):
+        for b, n in zip(kinds, row, strict=True):
+            coarse = max(steps[a][b] / sum(steps[a]) / many[b], 1e-9)
+            out.append(math.log((1 - KINDS_ONLY) * (n + PRIOR * coarse) / (sum(row) + PRIOR) + KINDS_ONLY * coarse))
+    return out
+
+
+def ordinary(run: Column, n: Column, alphabet: Column, model: list[float]) -> Column:
+    """p-value of a run under ordinary writing; 1 if no writing is known."""
+    if not model:
+        return F.lit(1.0)
+    table = F.split(F.lit(",".join(f"{v:.6f}" for v in model)), ",").cast("array<double>")
+
+    def place(pair: Column) -> Column:
+        return (F.instr(F.lit(SYMBOLS), pair.substr(1, 1)) - 1) * len(SYMBOLS) + F.instr(F.lit(SYMBOLS), pair.substr(2, 1))
+
+    known = F.aggregate(_pairs(run), F.lit(0.0), lambda total, pair: total + F.element_at(table, place(pair)))
+    return F.least(F.exp(F.greatest(known + n * F.log(alphabet.cast("double")), F.lit(-200.0))), F.lit(1.0))
+
+
 def _stratum(length: Column) -> Column:
     """Runs whose lengths are within a factor of two are judged together."""
     return F.floor(F.log2(length)).cast("int")
@@ -184,8 +237,8 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE), F.lit(LAST_BIN)).cast("int")
 
 
-def rejected_from(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """By stratum the first bin of p-values that Benjamini-Hochberg rejects, for those that have one.
+def discovered_from(candidates: DataFrame, rate: float = RATE) -> dict[int, int]:
+    """By stratum the first bin of p-values that Benjamini-Hochberg takes for discoveries, for those that have one.
 
     ``candidates`` holds (stratum, bin). The histogram has at most LAST_BIN + 1 rows a stratum.
     """
@@ -228,20 +281,26 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     clear = F.filter(
         "runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["at"] + F.length(r["match"])) & (r["at"] < b["end"]))
     )
-    tested = F.transform(clear, lambda r: F.struct(r["at"].alias("at"), F.length(r["match"]).alias("n"), battery(r["match"]).alias("test")))
+    clear = F.filter(clear, lambda r: ~r["match"].rlike(NO_KEY))
+    model = writing(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    tested = F.transform(
+        clear, lambda r: _let(
+            battery(r["match"]), lambda test: F.struct(
+                r["at"].alias("at"), F.length(r["match"]).alias("n"), test["p"].alias("random"),
+                ordinary(r["match"], F.length(r["match"]), test["alphabet"], model).alias("p"),
+            )
+        )
+    )
     found = cut(rows.select("doc_id", "base", tested.alias("tested")), "secrets")
 
-    least = F.create_map(*[F.lit(x) for name, _, m in ENCODINGS for x in (name, least_length(m))])
-    powered = F.filter("tested", lambda r: r["n"] >= F.try_element_at(least, r["test"]["encoding"]))
-    found = found.withColumn("tested", powered)
     each = found.select(F.explode("tested").alias("r"))
-    first = rejected_from(each.select(_stratum(F.col("r.n")).alias("stratum"), _bin(F.col("r.test.p")).alias("bin")), rate)
+    first = discovered_from(each.select(_stratum(F.col("r.n")).alias("stratum"), _bin(F.col("r.p")).alias("bin")), rate)
     limits = F.create_map(*[F.lit(x) for s in range(64) for x in (s, first.get(s, LAST_BIN + 1))])
-    random = F.filter("tested", lambda r: _bin(r["test"]["p"]) < F.try_element_at(limits, _stratum(r["n"])))
+    random = F.filter("tested", lambda r: (_bin(r["p"]) >= F.try_element_at(limits, _stratum(r["n"]))) & (r["random"] >= LEVEL))
     added = F.transform(
         random, lambda r: F.struct(
             r["at"].alias("start"), F.lit(len(KINDS)).alias("rank"), (r["at"] + r["n"]).alias("end"),
-            F.lit("random").alias("kind"), r["test"]["p"].alias("p"),
+            F.lit("random").alias("kind"), r["p"].alias("p"),
         )
     )
     return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("found"))

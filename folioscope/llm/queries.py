@@ -89,9 +89,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_spotsigs")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spotsigs.with_next(documents(spark, sf_dir), {"own": spotsigs.signatures("text")})
-    both = docs.withColumn("changed", spotsigs.edited("text", "next_text"))
-    both = both.withColumn("other", spotsigs.signatures("changed"))
+    docs = documents(spark, sf_dir)
+    anchors = spotsigs.common_words(docs)
+    both = spotsigs.with_next(docs, {"own": spotsigs.signatures("text", anchors)})
+    both = both.withColumn("changed", spotsigs.edited("text", "next_text"))
+    both = both.withColumn("other", spotsigs.signatures("changed", anchors))
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
         spotsigs.fingerprint("own").alias("fingerprint"), spotsigs.fingerprint("other").alias("edited_fingerprint"),

@@ -1,16 +1,19 @@
 """SpotSigs fingerprints, with built-in functions only.
 
 A signature is a common word (anchor) and the chain of the next two content words after it; up to
-three further common words on the way are passed over. The start of a text is an anchor as well,
-and so is every word after two content words in a row, so that texts without common words, in any
-language, are covered to their end. The end stands for missing content words. The fingerprint of a text is the sorted set of the
-hashes of its signatures. Fingerprints fall into classes by set length; sets whose classes are not
-neighbours are too unlike to be compared, all others are compared by their Jaccard similarity.
+three further common words on the way are passed over. The start of a text is an anchor as well, and
+the end stands for missing content words. Anchors are the words that most documents of the corpus
+hold. A text with few of them for its length, such as a word list or a text in a rare language, takes
+every word after two content words as an anchor too (stretches), so it is covered to its end. The
+fingerprint of a text is the sorted set of 64-bit hashes of its signatures; a null text has none.
+Fingerprints fall into classes by set length; sets whose classes are not neighbours are too unlike to
+be compared, all others are compared by their Jaccard similarity.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,46 +21,73 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut
 
-ANCHORS = sorted(set(
+ANCHORS = sorted(set(  # where no corpus is given, or an empty one
     "the of and to in is a that it for on with as was be by are this have from or at an not but "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es "
     "de la le et les des en un du une que est pour qui dans par plus pas au sur ne "
     "el y los se del las por con no una su para al lo como".split()
 ))
+MOST_ANCHORS = 150  # words of a corpus that are anchors
+SPARSE = 8  # words for each anchored signature from which on a text takes stretches
 CHAIN = 2
 SKIP = 3
 LEAST = 0.2  # likeness that sets of classes further apart cannot reach
 BLOCK_BITS = 10  # 2 ** BLOCK_BITS ids share a block when the next document is sought
 
 
-def _any(words: list[str]) -> str:
+def _any(words: Sequence[str]) -> str:
     """Pattern of the words, grouped by their first letter."""
-    groups = [f"{k}(?:{'|'.join(w[1:] for w in ws)})" for k, ws in groupby(words, key=lambda w: w[0])]
+    groups = [f"{k}(?:{'|'.join(w[1:] for w in ws)})" for k, ws in groupby(sorted(words), key=lambda w: w[0])]
     return f"(?:{'|'.join(groups)})"
 
 
-_COMMON = _any(ANCHORS)
-_PASSED = f"(?:{_COMMON} ){{0,{SKIP}}}+"
-# A space is consumed and the rest looked at, so chains may overlap.
-SIGNATURE = f" (?=((?:\\^|{_COMMON}) (?:{_PASSED}[^ ]+ ){{{CHAIN}}}))"
-# Two content words are looked over, and what follows them starts a signature.
-_CONTENT = f"(?!(?:\\^|\\$|{_COMMON}) )[^ ]+ "
-STRETCH = f" (?={_CONTENT}{_CONTENT}({_CONTENT}(?:{_PASSED}[^ ]+ ){{{CHAIN}}}))"
-_BETWEEN = f" (?:{_COMMON} )+"
+def _words(text: Column | str) -> Column:
+    """Lower-case words with one space between."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def signatures(text: Column | str) -> Column:
-    """Sorted distinct hashes of the signatures of a text; empty for a text without a word."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    marked = F.concat(F.lit(" ^ "), words, F.lit(" $" * CHAIN + " "))
-    found = F.concat(*[F.regexp_extract_all(marked, F.lit(p), F.lit(1)) for p in (SIGNATURE, STRETCH)])
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.hash(F.regexp_replace(s, _BETWEEN, " ")))))
+def common_words(docs: DataFrame, most: int = MOST_ANCHORS) -> list[str]:
+    """The words that most rows of ``docs`` hold, ties by word; ``ANCHORS`` if there are no words.
+
+    Counts are over whole texts of all rows; only the chosen words reach the driver.
+    """
+    held = docs.select(F.explode(F.array_distinct(F.split(_words("text"), " "))).alias("word")).where("word <> ''")
+    top = held.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in top.collect()] or list(ANCHORS)
+
+
+def signatures(text: Column | str, anchors: Sequence[str] = ANCHORS) -> Column:
+    """Sorted distinct hashes of the signatures of a text; empty for a text without a word, null for a null one."""
+    common = _any(anchors)
+    passed = f"(?:{common} ){{0,{SKIP}}}+"
+    chain = f"(?:{passed}[^ ]+ ){{{CHAIN}}}"
+    # A space is consumed and the rest looked at, so chains may overlap.
+    anchored = f" (?=((?:\\^|{common}) {chain}))"
+    # Two content words are looked over, and what follows them starts a signature.
+    content = f"(?!(?:\\^|\\$|{common}) )[^ ]+ "
+    stretch = f" (?={content}{content}({content}{chain}))"
+
+    def found(marked: Column) -> Column:
+        own = F.regexp_extract_all(marked, F.lit(anchored), F.lit(1))
+        spaces = F.length(marked) - F.length(F.replace(marked, F.lit(" "), F.lit("")))
+
+        def all_of(own: Column) -> Column:
+            few = F.size(own) < (spaces - 2 - CHAIN) / SPARSE
+            return F.when(few, F.concat(own, F.regexp_extract_all(marked, F.lit(stretch), F.lit(1)))).otherwise(own)
+
+        return F.element_at(F.transform(F.array(own), all_of), 1)
+
+    marked = F.concat(F.lit(" ^ "), _words(text), F.lit(" $" * CHAIN + " "))
+    # The text is worked out once, however often it is looked at.
+    both = F.element_at(F.transform(F.array(marked), found), 1)
+    between = f" (?:{common} )+"
+    return F.array_sort(F.array_distinct(F.transform(both, lambda s: F.xxhash64(F.regexp_replace(s, between, " ")))))
 
 
 def fingerprint(signatures: Column | str) -> Column:
-    """The set as a string."""
+    """The set as a string of hexadecimal numbers."""
     found = F.col(signatures) if isinstance(signatures, str) else signatures
-    return F.array_join(found.cast("array<string>"), " ")
+    return F.array_join(F.transform(found, lambda h: F.hex(h)), " ")
 
 
 def length_class(signatures: Column | str, least: float = LEAST) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_slices
 
-DICTIONARY_BYTES = 200_000  # of each language
+DICTIONARY_CHARS = 200_000  # of each language at most; as many rows are taken as fit
 SAMPLE_ROWS = 4000  # labelled rows that fill the dictionaries at most
 ROW_CHARS = 300  # characters of such a row at most; prediction reads all
 LEAST_ROWS = 40  # rows that a language may have, however many languages there are
@@ -76,24 +76,28 @@ def fit(docs: DataFrame, usable: object = None) -> Dictionaries:
     """Dictionaries from a bounded sample of rows with text and lang that the condition allows.
 
     All languages share SAMPLE_ROWS rows evenly, or have LEAST_ROWS if that is more, taken in the
-    order of a hash of their ids; no language can crowd out another.
+    order of a hash of their ids and texts; no language can crowd out another, and nothing of what is
+    taken is cut off. Repeated rows count once. Rows far down in that order are left out where they
+    lie, by the number of different rows of their language, so only some twice the sample is ranked.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     if usable is not None:
         rows = rows.where(usable)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    each = max(LEAST_ROWS, SAMPLE_ROWS // max(1, len(counts)))
     # A row's share of the dictionary lies where its hash says, not always at its head.
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - ROW_CHARS, F.lit(1))).cast("int") + 1
     part = F.col("text").substr(start, F.lit(ROW_CHARS))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", part.alias("part"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("n"))
+    counts = known.orderBy(F.desc("rows"), "lang").collect()
+    each = max(LEAST_ROWS, min(SAMPLE_ROWS // max(1, len(counts)), DICTIONARY_CHARS // ROW_CHARS))
+    near = F.pmod("h", F.lit(1 << 31)) < F.least(F.lit(2.0 * each + 50) / F.col("n"), F.lit(1.0)) * F.lit(float(1 << 31))
+    some = rows.join(known.select("lang", "n"), "lang").where(near).select("lang", "h", "doc_id", "part").distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", part.alias("part"))
-    top = rows.withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "part").toArrow()
+    top = some.withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "part").toArrow()
     texts = {row["lang"]: {} for row in counts}
     for lang, _, text in sorted(zip(*(top[c].to_pylist() for c in ("lang", "n", "part")), strict=True)):
         texts[lang][text] = None
-    contents = {k: " ".join(map(plain, own)).encode()[-DICTIONARY_BYTES:] for k, own in texts.items()}
-    return Dictionaries(contents)
+    return Dictionaries({k: " ".join(map(plain, own)).encode() for k, own in texts.items()})
 
 
 _letter = r"\p{L}"

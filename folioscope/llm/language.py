@@ -91,7 +91,9 @@ def fit(docs: DataFrame, usable: object = None) -> Dictionaries:
     counts = known.orderBy(F.desc("rows"), "lang").collect()
     each = max(LEAST_ROWS, min(SAMPLE_ROWS // max(1, len(counts)), DICTIONARY_CHARS // ROW_CHARS))
     near = F.pmod("h", F.lit(1 << 31)) < F.least(F.lit(2.0 * each + 50) / F.col("n"), F.lit(1.0)) * F.lit(float(1 << 31))
-    some = rows.join(known.select("lang", "n"), "lang").where(near).select("lang", "h", "doc_id", "part").distinct()
+    # A local table, so Spark knows how small it is and rows stay where they lie.
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long")
+    some = rows.join(sizes, "lang").where(near).select("lang", "h", "doc_id", "part").distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "part"))
     top = some.withColumn("n", first).where(F.col("n") <= each).select("lang", "n", "part").toArrow()
     texts = {row["lang"]: {} for row in counts}

@@ -31,6 +31,10 @@ TOLERANCE = 1e-4
 MAX_PASSES = 400  # over the sample
 WHOLE_STEPS = 20  # before steps get shorter
 TABLE_PASSES = 10  # over all rows, in one call
+STEP_PASSES = 20  # over all rows, before turns take the place of steps
+TURN_TOPICS = 32  # at most, that turns are made for, as their sums grow with the cube
+TURN_LENGTH = 0.3
+TURN_FLOOR = 1e-3  # of the largest curvature; what is flatter counts as this
 CALLS = 20  # after which topics that have not come to rest are an error
 WARM_ROWS = 20_000
 RANK_SHARE = 1e-9  # of the largest variance; a direction with less counts as none
@@ -98,6 +102,49 @@ def _step(w: np.ndarray, total: np.ndarray, number: int) -> tuple[np.ndarray, fl
     return (new if length == 1.0 else _decorrelate((1 - length) * w + length * turned)), change
 
 
+def _turn_sums(w: np.ndarray):
+    """``_update_sums``, followed by the sums that tell how the contrast bends under rotations."""
+    steps = _update_sums(w)
+
+    def sums(z: np.ndarray) -> np.ndarray:
+        y = z @ w.T
+        slope = 1.0 - np.tanh(y) ** 2
+        bends = [((slope[:, i, None] * y).T @ y).ravel() for i in range(len(w))]
+        return np.concatenate([steps(z), *bends])
+
+    return sums
+
+
+def _turn(w: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, float]:
+    """The unmixing matrix after a Newton step over rotations, and how far a whole FastICA step
+    would have changed this one.
+
+    A FastICA step is such a step with a curvature that holds for independent sources only. Where
+    sources are close to normal its error is as large as the curvature, and steps need not come to
+    rest. The curvature taken from the rows has no such error; a point at rest is the same for both.
+    """
+    k = len(w)
+    head, bends = total[: 1 + k * k + k], total[1 + k * k + k :].reshape(k, k, k) / total[0]
+    change = _change(w, _next(w, head))
+    a = head[1 : 1 + k * k].reshape(k, k) / head[0] @ w.T
+    sign = np.where(np.diag(a) < head[1 + k * k :] / head[0], -1.0, 1.0)
+    a, bends = sign[:, None] * a, sign[:, None, None] * bends
+    below, above = np.tril_indices(k, -1)
+    planes = np.zeros((len(below), k, k))  # generators of the rotations
+    each = np.arange(len(below))
+    planes[each, below, above], planes[each, above, below] = 1.0, -1.0
+    flat = planes.reshape(len(planes), -1)
+    slope = flat @ a.ravel()
+    twice = -(planes @ a).reshape(len(planes), -1) @ flat.T
+    curvature = np.einsum("ijl,aij->ail", bends, planes).reshape(len(planes), -1) @ flat.T + (twice + twice.T) / 2
+    values, axes = np.linalg.eigh((curvature + curvature.T) / 2)
+    size = np.abs(values)
+    turn = axes @ ((axes.T @ slope) / np.maximum(size, max(TURN_FLOOR * size.max(initial=0.0), 1e-300)))
+    turn *= min(1.0, TURN_LENGTH / max(np.linalg.norm(turn), 1e-300))
+    by = np.tensordot(turn, planes, 1)
+    return _decorrelate((np.eye(k) + by + by @ by / 2) @ w), change
+
+
 def fit(
     df: DataFrame,
     n_components: int,
@@ -111,7 +158,8 @@ def fit(
     """Independent components of the vectors, each with unit variance and positive skew.
 
     The iteration starts from the solution for a bounded hash sample, so that few passes over
-    the whole table remain. It ends when a pass over all rows changes nothing more, or after
+    the whole table remain. Where ``STEP_PASSES`` of them do not end it, Newton steps follow, also one
+    pass each. It ends when a pass over all rows changes nothing more, or after
     ``table_passes`` of them with ``converged`` false; then another call with the same folder
     ``state`` goes on where this one stopped, if the vectors are still the same. Asking for more
     topics than the vectors have directions with variance is an error.
@@ -148,7 +196,10 @@ def fit(
     for _ in range(table_passes):
         if change < tolerance:
             break
-        w, change = _step(w, A.sum_over(white, "z", _update_sums(w)), steps)
+        if passes < STEP_PASSES or not 1 < k <= TURN_TOPICS:
+            w, change = _step(w, A.sum_over(white, "z", _update_sums(w)), steps)
+        else:
+            w, change = _turn(w, A.sum_over(white, "z", _turn_sums(w)))
         passes, steps = passes + 1, steps + 1
     if state is not None:
         row = [(basis, w.ravel().tolist(), steps, passes, change)]

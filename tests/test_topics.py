@@ -128,6 +128,19 @@ def test_topics_that_do_not_rest_are_an_error(spark, papers):
         T.fit_to_rest(papers, 3, new_path(spark, "passes"), calls=2, table_passes=1, max_passes=1, tolerance=1e-15)
 
 
+def test_sources_close_to_normal_come_to_rest(spark):
+    noise = np.random.default_rng(4).standard_normal((1500, 6))
+    rows = spark.createDataFrame([(f"p{i:04d}", v.tolist()) for i, v in enumerate(noise)], "arxiv_id string, embedding array<double>")
+    found = T.fit_to_rest(rows, 6, new_path(spark, "passes"), calls=3, max_passes=1)
+    assert found.converged and T.STEP_PASSES < found.passes <= 30
+    y = (noise - found.mean) @ found.unmixing.T
+    assert np.cov(y.T, bias=True) == pytest.approx(np.eye(6), abs=1e-6)
+    g = np.tanh(y)
+    pulls = (g.T @ y) / len(y)
+    sign = np.sign(np.diag(pulls) - (1 - g * g).mean(axis=0))
+    assert np.abs(sign[:, None] * pulls - (sign[:, None] * pulls).T).max() < 1e-3  # at rest under rotations
+
+
 def test_record_of_a_result(papers):
     record = T.extract_topics(papers, 3, key="asked").record.first()
     assert (record["cache_key"], record["n_components"], record["converged"]) == ("asked", 3, True)

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf
@@ -21,7 +22,10 @@ Embedder = Callable[[pd.Series], np.ndarray]
 _WORD = regex.compile(r"[\p{L}\p{N}_]{2,}")
 
 
-@lru_cache(maxsize=1 << 18)
+SLICE_BYTES = 4 << 20  # of the texts that the model gets at once
+
+
+@lru_cache(maxsize=1 << 16)
 def _slot(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
@@ -37,14 +41,11 @@ class HashedWords:
         self.dim = dim
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
-        words = [_WORD.findall(t.lower()) for t in texts]
-        rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        slots = np.fromiter((_slot(w) for ws in words for w in ws), np.int64, len(rows))
-        signs = 1.0 - 2.0 * (slots // self.dim % 2)
-        flat = np.bincount(
-            rows * self.dim + slots % self.dim, weights=signs, minlength=len(words) * self.dim
-        )
-        sums = flat.reshape(len(words), self.dim)
+        sums = np.zeros((len(texts), self.dim))
+        for row, text in enumerate(texts):  # the words of one text at a time are held
+            slots = np.fromiter(map(_slot, _WORD.findall(text.lower())), np.int64)
+            signs = 1.0 - 2.0 * (slots // self.dim % 2)
+            sums[row] = np.bincount(slots % self.dim, weights=signs, minlength=self.dim)
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)
         return sums / np.where(lengths == 0, 1.0, lengths)
 
@@ -79,6 +80,19 @@ def model_name(embedder: Embedder) -> str:
     return kind + "".join(f" {k}={v}" for k, v in settings if isinstance(v, (int, float, str)))
 
 
+def _slices(part: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of at most ``SLICE_BYTES``, or of one text; a single run when there are none."""
+    if not len(part):
+        yield part
+    sizes = pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(part):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield part.slice(start, stop - start)
+        start = stop
+
+
 def embed(
     df: DataFrame,
     embedder: Embedder,
@@ -86,28 +100,31 @@ def embed(
     out: str = "embedding",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add a vector column computed by the embedder, one call per Arrow batch of texts.
+    """Add a vector column computed by the embedder, one call per slice of an Arrow batch of texts.
 
     A null text gives a null vector. ``partitions`` first deals the rows evenly over so many
     tasks, worth its shuffle only for a slow model.
     """
     rows = df.repartition(partitions) if partitions else df
 
+    def vectors_of(part: pa.Array) -> pa.Array:
+        texts = part.to_pandas()
+        known = texts.notna().to_numpy()
+        vectors = np.zeros((0, 0), np.float32)
+        if known.any():
+            vectors = np.ascontiguousarray(embedder(texts[known]), dtype=np.float32)
+        width = vectors.shape[1] if len(vectors) else 0
+        offsets = np.concatenate([[0], np.cumsum(np.where(known, width, 0))])
+        return pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()),
+            pa.array(vectors.ravel(), pa.float32()),
+            mask=pa.array(~known),
+        )
+
     @arrow_udf("array<float>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = part.to_pandas()
-            known = texts.notna().to_numpy()
-            vectors = np.zeros((0, 0), np.float32)
-            if known.any():
-                vectors = np.ascontiguousarray(embedder(texts[known]), dtype=np.float32)
-            width = vectors.shape[1] if len(vectors) else 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(known, width, 0))])
-            yield pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()),
-                pa.array(vectors.ravel(), pa.float32()),
-                mask=pa.array(~known),
-            )
+            yield pa.concat_arrays([vectors_of(some) for some in _slices(part)])
 
     return rows.withColumn(out, run(text))
 

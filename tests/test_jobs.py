@@ -2,14 +2,16 @@
 
 import os
 import tempfile
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import layout
+from folioscope.operators import embedding, layout
 from folioscope.operators.embedding import HashedWords, LoadedModel, embed, model_name
 from folioscope.plans import incremental
 from folioscope.registry import base as B
@@ -119,3 +121,30 @@ def test_a_whole_run_leaves_only_its_results(spark, small):
     assert totals.first()["papers_total"] > 0
     names = {Path(p).name for p in paths} | {Path(paths[0]).name + "-models"}
     assert {p.name for p in folders(spark, "*") - before} == names
+
+
+def test_the_model_gets_texts_in_bounded_slices(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "SLICE_BYTES", 1000)
+
+    def sizes(texts):
+        return np.full((len(texts), 1), float(texts.str.len().sum()))
+
+    part = pa.array([None, "x" * 5000, None] + ["é" * 150] * 20 + [None], pa.string())
+    slices = list(embedding._slices(part))
+    assert pa.concat_arrays(slices).equals(part)
+    assert max(sum(len((t or "").encode()) for t in s.to_pylist()) for s in slices if len(s) > 1) <= 1000 < 5000
+    texts = spark.createDataFrame([(i, None if i == 7 else "x" * 400_000) for i in range(40)], "id long, text string")
+    rows = {r["id"]: r["embedding"] for r in embed(texts.coalesce(1), sizes).collect()}
+    assert rows.pop(7) is None and 0 < max(v[0] for v in rows.values()) <= 4 << 20
+
+
+def test_words_of_one_text_at_a_time_are_held():
+    texts = pd.Series([" ".join(f"w{(i * j) % 997}" for j in range(1000)) for i in range(600)] + ["", "- a"])
+    model = HashedWords(16)
+    model(texts)  # fills the cache of words
+    tracemalloc.start()
+    vectors = model(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20 < texts.str.len().sum()
+    assert not vectors[-2:].any() and np.linalg.norm(vectors[:-2], axis=1) == pytest.approx(1)

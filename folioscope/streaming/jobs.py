@@ -5,7 +5,9 @@ Each job takes what is there, stops, and goes on from its checkpoint the next ti
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ from folioscope.schemas import KEYS, RAW_PAPER
 from folioscope.sources.corpus import path_exists, read_corpus, scan_partitions, with_year_month
 from folioscope.sources.snapshots import publish
 
+MERGED = 8  # folders of ids that become one
+IDS_IN_FILE = 1_000_000
+
 
 def read_staging(spark: SparkSession, staging: str, max_files: int = 1000) -> DataFrame:
     """Raw papers as a stream; ``max_files`` bounds what one micro-batch reads."""
@@ -134,6 +139,39 @@ def stream_stats(
     )
 
 
+def _ids_folder(ids_path: str, first: int, level: int) -> str:
+    """Where the ids of ``MERGED ** level`` batches from ``first`` on are kept."""
+    return f"{ids_path}/" + (f"merged={level}-{first}" if level else f"batch={first}")
+
+
+def _ids_folders(spark: SparkSession, ids_path: str, number: int) -> list[str]:
+    """Folders that hold the ids of the batches before ``number``, each once: the largest ones there are."""
+    found, first = [], 0
+    while first < number:
+        level = 0
+        while first % MERGED ** (level + 1) == 0 and first + MERGED ** (level + 1) <= number:
+            level += 1
+        while level and not path_exists(spark, f"{_ids_folder(ids_path, first, level)}/_SUCCESS"):
+            level -= 1
+        folder = _ids_folder(ids_path, first, level)
+        if level or path_exists(spark, folder):
+            found.append(folder)
+        first += MERGED**level
+    return found
+
+
+def _read_ids(spark: SparkSession, folders: list[str], key: str, kind: str) -> DataFrame:
+    """The (key, bucket) rows of some folders, of which those of earlier versions have a folder a bucket."""
+    parts = [spark.read.schema(f"{key} {kind}, bucket int").parquet(f).select(key, "bucket") for f in folders]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _write_ids(ids: DataFrame, folder: str) -> None:
+    """Few files in the order of buckets, so that readers pass over those they do not need."""
+    files = max(1, math.ceil(ids.count() / IDS_IN_FILE))
+    ids.repartition(files, "bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(folder)
+
+
 def stream_land_new(
     staged: DataFrame, path: str, ids_path: str, checkpoint: str, key: str = "arxiv_id", buckets: int = 64
 ) -> StreamingQuery:
@@ -141,28 +179,35 @@ def stream_land_new(
 
     The ids seen so far are a table of their own, in ``buckets`` by hash; each batch reads the
     buckets that its ids fall into, and meets them with an anti join. What a batch writes goes to a
-    folder of its number, so a batch that is repeated writes the same rows again and no more. Null
-    ids count as one id.
+    folder of its number, so a batch that is repeated writes the same rows again and no more. The ids
+    of every ``MERGED`` batches are written once more into one folder, those of as many such folders
+    into a larger one, and so on; the folders that a batch reads grow with the logarithm of its
+    number. Null ids count as one id.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, kind = batch.sparkSession, batch.schema[key].dataType.simpleString()
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
-        first = batch.dropDuplicates([key])
-        rows = first.select("*", bucket)
-        if path_exists(spark, ids_path):
-            kind = first.schema[key].dataType.simpleString()
-            seen = spark.read.schema(f"{key} {kind}, bucket int, batch long").parquet(ids_path)
-            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-            seen = seen.where(F.col("bucket").isin(touched) & (F.col("batch") < number)).select(
+        rows = batch.dropDuplicates([key]).select("*", bucket)
+        if folders := _ids_folders(spark, ids_path, number):
+            touched = [r["bucket"] for r in batch.select(bucket).distinct().collect()]
+            seen = _read_ids(spark, folders, key, kind).where(F.col("bucket").isin(touched)).select(
                 F.col(key).alias("seen_id"), F.col("bucket").alias("seen_bucket")
             )
             same = (F.col("bucket") == F.col("seen_bucket")) & F.col(key).eqNullSafe(F.col("seen_id"))
             rows = rows.join(seen, same, "left_anti")
         new = rows.persist()
         new.drop("bucket").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        new.select(key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ids_path}/batch={number}")
+        _write_ids(new.select(key, "bucket"), _ids_folder(ids_path, number, 0))
         new.unpersist()
+        level, end = 1, number + 1
+        while end % MERGED**level == 0:
+            firsts = range(end - MERGED**level, end, MERGED ** (level - 1))
+            parts = [_ids_folder(ids_path, first, level - 1) for first in firsts]
+            if not all(path_exists(spark, f"{part}/_SUCCESS") for part in parts):
+                break
+            _write_ids(_read_ids(spark, parts, key, kind), _ids_folder(ids_path, firsts[0], level))
+            level += 1
 
     return (
         staged.writeStream.foreachBatch(write)

@@ -92,6 +92,28 @@ def test_a_repeated_batch_writes_nothing_twice(spark, small):
     assert landed.count() == landed.select("arxiv_id").distinct().count() == B.papers(spark, small).count()
 
 
+def test_ids_of_many_batches_are_few_files(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGED", 2)
+    staging, path, ids, checkpoint = (new_path(spark, p) for p in ("staging", "papers", "ids", "checkpoint"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_PAPER.fields if f.name != "arxiv_id"]
+    for k in range(11):
+        key = F.when(F.col("id") != 5, F.concat(F.lit("p"), F.col("id") + 40 * (k % 6))).alias("arxiv_id")
+        spark.range(0, 60, 1, 1).select(key, *blank).write.mode("append").parquet(staging)
+    jobs.stream_land_new(jobs.read_staging(spark, staging, 1), path, ids, checkpoint).awaitTermination()
+    landed = [r[0] for r in spark.read.schema(RAW_PAPER).parquet(path).select("arxiv_id").collect()]
+    want = {f"p{i + 40 * (k % 6)}" for k in range(11) for i in range(60) if i != 5} | {None}
+    assert len(landed) == len(want) and set(landed) == want
+    names = [f.removeprefix(f"{ids}/") for f in jobs._ids_folders(spark, ids, 11)]
+    assert names == ["merged=3-0", "merged=1-8", "batch=10"]
+    files = list(Path(ids.removeprefix("file:")).rglob("*.parquet"))
+    assert len(files) <= 11 + 5 + 2 + 1
+    # Ids that an earlier version kept by bucket are read as well.
+    jobs._read_ids(spark, [f"{ids}/batch=0"], "arxiv_id", "string").write.partitionBy("bucket").parquet(f"{ids}/old")
+    both = jobs._read_ids(spark, [f"{ids}/old", f"{ids}/merged=1-8"], "arxiv_id", "string")
+    assert both.select("arxiv_id").union(spark.read.parquet(f"{ids}/batch=10").select("arxiv_id")).count() >= 60
+    assert both.where("bucket IS NULL").isEmpty()
+
+
 def folders(spark, pattern):
     return set(Path(shared_dir(spark).removeprefix("file:")).glob(f"folioscope/{pattern}"))
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,14 +20,34 @@ from folioscope.sources.corpus import with_year_month
 Embedder = Callable[[pd.Series], np.ndarray]
 
 _WORD = regex.compile(r"[\p{L}\p{N}_]{2,}")
+_LATIN_WORD = re.compile(r"\w{2,}")
+WORDS_KEPT = 1 << 18
 
 
 SLICE_BYTES = 4 << 20  # of the texts that the model gets at once
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+class _Slots(dict):
+    """Numbers of words by their digests, kept for words that come again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        slot = self[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+        return slot
+
+
+_slots = _Slots()
+
+
+def _words(text: str) -> list[str]:
+    """Words of two or more letters or digits, in lower case."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return _LATIN_WORD.findall(text)  # the same for these characters
 
 
 class HashedWords:
@@ -43,7 +63,7 @@ class HashedWords:
     def __call__(self, texts: pd.Series) -> np.ndarray:
         sums = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):  # the words of one text at a time are held
-            slots = np.fromiter(map(_slot, _WORD.findall(text.lower())), np.int64)
+            slots = np.fromiter(map(_slots.__getitem__, _words(text)), np.int64)
             signs = 1.0 - 2.0 * (slots // self.dim % 2)
             sums[row] = np.bincount(slots % self.dim, weights=signs, minlength=self.dim)
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)

@@ -170,3 +170,16 @@ def test_words_of_one_text_at_a_time_are_held():
     tracemalloc.stop()
     assert peak < 2 << 20 < texts.str.len().sum()
     assert not vectors[-2:].any() and np.linalg.norm(vectors[:-2], axis=1) == pytest.approx(1)
+
+
+def test_words_of_latin_texts_are_those_of_any_text(monkeypatch):
+    text = " ".join(f"a{chr(i)}{chr(i)}b{chr(j)}" for i in range(256) for j in range(0, 256, 5))
+    assert embedding._words(text) == embedding._WORD.findall(text.lower())
+    assert embedding._words(text + " ǅungla Привет") == embedding._WORD.findall((text + " ǅungla Привет").lower())
+    monkeypatch.setattr(embedding, "WORDS_KEPT", 10)
+    monkeypatch.setattr(embedding, "_slots", embedding._Slots())
+    texts = pd.Series([" ".join(f"w{i % 37}" for i in range(500))])
+    few = HashedWords(16)(texts)
+    assert len(embedding._slots) <= 10
+    monkeypatch.undo()
+    assert (HashedWords(16)(texts) == few).all()
